@@ -1,0 +1,23 @@
+"""Size checks ahead of a broadcast."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def text_bytes(rows: DataFrame) -> int:
+    """Bytes of all values written as text, plus eight per value. One aggregate pass."""
+    width = sum(
+        (
+            F.coalesce(F.octet_length(F.col(f"`{name}`").cast("string")), F.lit(0)) + F.lit(8)
+            for name in rows.columns
+        ),
+        F.lit(0),
+    )
+    return rows.agg(F.sum(width.cast("bigint"))).first()[0] or 0
+
+
+def broadcast_if_small(rows: DataFrame, limit_bytes: int) -> DataFrame:
+    """`rows` marked for broadcast if they measure at most `limit_bytes`, else as they are."""
+    return F.broadcast(rows) if text_bytes(rows) <= limit_bytes else rows
