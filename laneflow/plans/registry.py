@@ -53,6 +53,7 @@ ROWS_PER_XML_FILE = 100_000
 # How far apart in time two copies of an event, or a speed and its flow, may
 # arrive. The event table is taken up in any file order, so this covers it all.
 EVENT_DELAY = "60 days"
+DEDUP_SALTS = 8
 
 
 def query(function: Query) -> Query:
@@ -518,7 +519,9 @@ def snapshot_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     landing = scratch_path(spark, "landing-xml")
     _write_speed_xml(table(spark, sf_dir, "events"), landing)
-    described = sites.site_characteristics(_part_sites(spark, sf_dir))
+    described = streaming.store_once(
+        sites.site_characteristics(_part_sites(spark, sf_dir)), scratch_path(spark, "sites")
+    )
     parsed = sources.stream_speed_xml(spark, landing)
     rows = streaming.ingest_measurements(parsed, described).drop("snapshot_time")
     return _run_stream(rows, "stream-ingest")
@@ -534,7 +537,8 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         for _ in range(2)
     )
     rows = once.unionByName(again)
-    new = streaming.new_measurements(rows, ["user_id", "event_id", "ts"], "ts", EVENT_DELAY)
+    keys = ["user_id", "event_id", "ts"]
+    new = streaming.new_measurements(rows, keys, "ts", EVENT_DELAY, salts=DEDUP_SALTS)
     return _run_stream(new, "stream-dedup").drop("ts")
 
 

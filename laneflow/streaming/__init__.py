@@ -4,6 +4,7 @@ from laneflow.streaming.ingest import (
     run_available,
     start_parquet,
     start_snapshots,
+    store_once,
 )
 from laneflow.streaming.jams import stream_traffic_jams
 
@@ -13,5 +14,6 @@ __all__ = [
     "run_available",
     "start_parquet",
     "start_snapshots",
+    "store_once",
     "stream_traffic_jams",
 ]

@@ -10,17 +10,20 @@ from laneflow.functions import snapshot_name
 from laneflow.operators.measurements import all_measurements, enrich, valid_measurements
 
 POLL_INTERVAL_S = 60
+SITE_BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def ingest_measurements(
     sites: DataFrame,
     characteristics: DataFrame | None = None,
-    broadcast_bytes: int | None = None,
+    broadcast_bytes: int | None = SITE_BROADCAST_BYTES,
 ) -> DataFrame:
     """Measurement rows of a stream (or batch) of parsed speed XML.
 
-    `characteristics` is static; it is read when the query starts. Without it
-    rows keep the five measurement fields.
+    `characteristics` is static and should be a stored table (see
+    `store_once`), since every batch reads it. It is measured when the query is
+    set up and broadcast if it has at most `broadcast_bytes`; a larger one is
+    joined by shuffle. Without it rows keep the five measurement fields.
     """
     measured = valid_measurements(all_measurements(sites, "snapshot_time"))
     if characteristics is None:
@@ -28,19 +31,39 @@ def ingest_measurements(
     return enrich(measured, characteristics, broadcast_bytes)
 
 
+def store_once(rows: DataFrame, path: str) -> DataFrame:
+    """`rows` written to a new folder and read back: computed once, of known size."""
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
 def new_measurements(
     stream: DataFrame,
     keys: list[str],
     event_time: str,
     delay: str,
+    salts: int = 1,
 ) -> DataFrame:
     """Rows of a stream without repetitions of one key.
 
     The file source takes up each file once; this also drops rows that are
     repeated in a later file. Keys are forgotten once the watermark passes
     them, so state holds about `delay` worth of rows.
+
+    All copies of a key meet in one task. Where a key may be repeated very
+    often, `salts` above one first drops copies within groups of scan tasks, so
+    that at most `salts` copies of a batch meet. Each key is then held in state
+    more than once.
     """
-    return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys)
+    rows = stream.withWatermark(event_time, delay)
+    if salts > 1:
+        # A scan task reads the same rows again when it is retried, so this is stable.
+        rows = (
+            rows.withColumn("_salt", F.spark_partition_id() % F.lit(salts))
+            .dropDuplicatesWithinWatermark([*keys, "_salt"])
+            .drop("_salt")
+        )
+    return rows.dropDuplicatesWithinWatermark(keys)
 
 
 def start_parquet(

@@ -1,0 +1,81 @@
+import json
+
+from pyspark.sql import functions as F
+
+from laneflow import sinks, sources
+from laneflow.operators import profile
+
+
+def test_web_pages(spark, write):
+    path = write({"a.json": '{"text": "een pagina", "url": "u"}\n{"url": "v", "other": 1}\n'})
+    rows = sources.read_web_pages(spark, path)
+    assert sorted(tuple(r) for r in rows.select("url", "text").collect()) == [
+        ("u", "een pagina"), ("v", None),
+    ]
+
+
+def test_articles(spark, write):
+    entries = [
+        {"category": c, "year": y, "title": "a b", "text": " x  y z "}
+        for c, y in [("Sport", 2010), ("Sport", 2011), ("Film", 2010)]
+    ]
+    path = write({"a.json": "\n".join(json.dumps(e) for e in entries)})
+    rows = sources.read_articles(spark, path)
+    lengths = profile.avg_token_lengths(rows, "title", "text").first()
+    assert lengths.asDict() == {"avg_title_tokens": 2.0, "avg_text_tokens": 3.0}
+    by_category = {tuple(r) for r in profile.group_counts(rows, "category").collect()}
+    assert by_category == {("Sport", 2), ("Film", 1)}
+    assert profile.row_count(rows).first()["n"] == 3
+
+
+def test_tweets(spark, write):
+    tweet = {
+        "id": 7, "text": "hallo", "place": {"name": "Enschede"},
+        "entities": {"hashtags": [{"text": "x"}], "urls": []},
+        "coordinates": {"coordinates": [4.5, 52.0], "type": "Point"},
+        "user": {"id": 3, "verified": False, "screen_name": "s"},
+        "retweeted_status": {"id": 5, "text": "eerder", "retweeted_status": {"id": 4}},
+    }
+    row = sources.read_tweets(spark, write({"a.json": json.dumps(tweet)})).first()
+    assert row["user"]["screen_name"] == "s"
+    assert row["retweeted_status"]["text"] == "eerder"
+    assert json.loads(row["entities"]["hashtags"][0]) == {"text": "x"}
+    assert json.loads(row["place"]) == {"name": "Enschede"}
+    assert row["quoted_status"] is None
+
+
+def test_user_layout(spark, write):
+    schema = sources.read_tweets(spark, write({"a.json": "{}"})).schema
+    assert len(schema["user"].dataType.fields) == 38
+    inner = schema["retweeted_status"].dataType.fieldNames()
+    assert "user" in inner and "retweeted_status" not in inner
+
+
+def test_ship_positions(spark, write):
+    path = write({"a.json": '{"mmsi": 244, "lat": 52.1, "lat2": "52N", "ts": 1}'})
+    row = sources.read_ship_positions(spark, path).first()
+    assert (row["mmsi"], row["lat"], row["lat2"], row["sog"]) == (244, 52.1, "52N", None)
+
+
+def test_years_prune_folders(spark, tmp_path):
+    path = str(tmp_path / "years")
+    spark.range(30).withColumn("year", (2010 + F.col("id") % 3).cast("int")).write.partitionBy(
+        "year"
+    ).parquet(path)
+    assert sources.read_parquet_years(spark, path).count() == 30
+    pruned = sources.read_parquet_years(spark, path, [2011])
+    assert pruned.count() == 10
+    plan = pruned._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(year" in plan or "PartitionFilters: [year" in plan
+
+
+def test_snapshot_folders(spark, tmp_path):
+    path = tmp_path / "snapshots"
+    rows = spark.createDataFrame(
+        [(1, "2017-01-05 10:00:00"), (2, "2017-01-05 10:01:00"), (3, "2017-01-05 10:00:00")],
+        "n INT, t STRING",
+    ).withColumn("t", F.to_timestamp("t"))
+    sinks.write_snapshots(rows, str(path), "t")
+    assert sorted(p.name for p in path.glob("snapshot=*")) == [
+        "snapshot=2017_01_05_10_00_00", "snapshot=2017_01_05_10_01_00",
+    ]
