@@ -166,10 +166,12 @@ def short_period_flow_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- Loop sensors -----------------------------------------------------------
 
 
+def _loop_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(loop_lines_of_events(table(spark, sf_dir, "events")))
+
+
 def _loop_rows(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
-    return sources.parse_loop_lines(
-        loop_lines_of_events(table(spark, sf_dir, "events")), "value", **options
-    )
+    return sources.parse_loop_lines(_loop_lines(spark, sf_dir), "value", **options)
 
 
 _LOOP_SHOWN = ["measurementSiteReference", "index", "avgVehicleSpeed", "avgTravelTime"]
@@ -199,7 +201,7 @@ def usable_speed_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 def loop_file_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Usable rows of loop-sensor files, with numbers and times typed."""
     path = scratch_path(spark, "loop-csv")
-    sinks.write_rows(loop_lines_of_events(table(spark, sf_dir, "events")), path)
+    sinks.write_rows(_loop_lines(spark, sf_dir), path)
     rows = quality.usable_speed_rows(sources.read_loop_rows(spark, path))
     return sources.typed_loop_rows(rows).select(
         "index",
@@ -235,7 +237,7 @@ def parsable_speed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def field_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = loop_lines_of_events(table(spark, sf_dir, "events"))
+    lines = _loop_lines(spark, sf_dir)
     return profile.group_counts(
         lines.select(field_count(F.col("value")).cast("bigint").alias("fields")), "fields"
     )
@@ -286,7 +288,7 @@ def datex_ingest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def speed_xml_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measurement rows out of gzip-compressed snapshot files."""
     path = scratch_path(spark, "speed-xml-gz")
-    _write_speed_xml(table(spark, sf_dir, "events"), path, compression="gzip")
+    _write_speed_xml(spread(table(spark, sf_dir, "events")), path, compression="gzip")
     parsed = sources.read_speed_xml(spark, path)
     return measurements.valid_measurements(measurements.all_measurements(parsed))
 
@@ -305,7 +307,7 @@ def _write_speed_xml(events: DataFrame, path: str, **options: str) -> None:
 
 
 def _part_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    xml = site_xml_of_parts(table(spark, sf_dir, "part"))
+    xml = site_xml_of_parts(spread(table(spark, sf_dir, "part")))
     return sites.site_records(sources.parse_site_xml(xml, "xml", order="record_no"))
 
 
@@ -518,7 +520,7 @@ def snapshot_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     landing = scratch_path(spark, "landing-xml")
-    _write_speed_xml(table(spark, sf_dir, "events"), landing)
+    _write_speed_xml(spread(table(spark, sf_dir, "events")), landing)
     described = streaming.store_once(
         sites.site_characteristics(_part_sites(spark, sf_dir)), scratch_path(spark, "sites")
     )

@@ -96,7 +96,14 @@ def loop_lines_of_events(events: DataFrame) -> DataFrame:
     }
 
     def line(fields: list[str]) -> Column:
-        return F.concat_ws(",", *[filled.get(name, F.lit("")) for name in fields])
+        # Runs of empty fields become one literal, which keeps the expression small.
+        parts, commas = [], ""
+        for name in fields:
+            if name in filled:
+                parts += [F.lit(commas), filled[name]] if commas else [filled[name]]
+                commas = ""
+            commas += ","
+        return F.concat(*parts, F.lit(commas[:-1]))
 
     short = LOOP_FIELDS[: LOOP_FIELDS.index("avgTravelTime")]
     return events.select(
