@@ -154,7 +154,7 @@ WITH site AS (
          CAST(CAST(floor(p_size / 25) AS BIGINT) * 30 + 50 AS VARCHAR) AS maxspeed,
          52.0::DOUBLE + (p_partkey % 1000) * 0.000036::DOUBLE AS lat,
          4.0::DOUBLE + floor(p_partkey / 1000) * 0.0001::DOUBLE AS lon
-  FROM part WHERE p_size % 10 <> 0
+  FROM part WHERE p_size > 5
 ), near AS (
   SELECT DISTINCT id, way, maxspeed FROM site s JOIN road r
     ON abs(s.lat - r.lat) < 0.001

@@ -184,7 +184,8 @@ def usable_travel_time_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def usable_travel_time_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.row_total(quality.usable_travel_time_rows(_loop_rows(spark, sf_dir)))
+    rows = _loop_rows(spark, sf_dir, upto="avgTravelTime")
+    return quality.row_total(quality.usable_travel_time_rows(rows))
 
 
 @query
@@ -194,7 +195,8 @@ def usable_speed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def usable_speed_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.row_total(quality.usable_speed_rows(_loop_rows(spark, sf_dir)))
+    rows = _loop_rows(spark, sf_dir, upto="avgTravelTime")
+    return quality.row_total(quality.usable_speed_rows(rows))
 
 
 @query
@@ -219,19 +221,19 @@ def _rounded_summary(summary: DataFrame) -> DataFrame:
 
 @query
 def avg_vehicle_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _loop_rows(spark, sf_dir, min_fields=1)
+    rows = _loop_rows(spark, sf_dir, min_fields=1, upto="avgVehicleSpeed")
     return _rounded_summary(quality.speed_summary(rows))
 
 
 @query
 def avg_vehicle_speed_by_site(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _loop_rows(spark, sf_dir, min_fields=1)
+    rows = _loop_rows(spark, sf_dir, min_fields=1, upto="avgVehicleSpeed")
     return _rounded_summary(quality.speed_summary(rows, "measurementSiteReference"))
 
 
 @query
 def parsable_speed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = quality.parsable_speeds(_loop_rows(spark, sf_dir, min_fields=1))
+    rows = quality.parsable_speeds(_loop_rows(spark, sf_dir, min_fields=1, upto="avgVehicleSpeed"))
     return rows.select("index", "speed")
 
 

@@ -293,12 +293,17 @@ def measurements_of_lineitems(lineitem: DataFrame) -> DataFrame:
 
 
 def road_points_of_parts(parts: DataFrame) -> DataFrame:
-    """Road points: one per part, four metres apart in rows, two points to a way."""
+    """Road points: one per part, four metres apart in rows, two points to a way.
+
+    Small sizes stand for secondary roads, the smallest for roads without a limit.
+    """
     key = F.col("p_partkey")
     return parts.select(
         F.floor(key / 2).cast("string").alias("way_id"),
-        F.when(key % 3 == 0, F.lit("secondary")).otherwise(F.lit("primary")).alias("highway"),
-        F.when(F.col("p_size") % 10 != 0, (F.floor(F.col("p_size") / 25) * 30 + 50).cast("string"))
+        F.when(F.col("p_size") < 25, F.lit("secondary"))
+        .otherwise(F.lit("primary"))
+        .alias("highway"),
+        F.when(F.col("p_size") > 5, (F.floor(F.col("p_size") / 25) * 30 + 50).cast("string"))
         .alias("maxspeed"),
         *_lattice(key, F.lit(0.0)),
     )

@@ -17,15 +17,21 @@ from laneflow.schemas import (
 
 
 def parse_loop_lines(
-    lines: DataFrame, column: str = "value", min_fields: int = LOOP_MIN_FIELDS
+    lines: DataFrame,
+    column: str = "value",
+    min_fields: int = LOOP_MIN_FIELDS,
+    upto: str = LOOP_FIELDS[-1],
 ) -> DataFrame:
     """Named text columns of every line that has at least `min_fields` fields.
 
+    `upto` names the last field to convert, for a query that needs no later one.
+
     `inline` makes the parse a step of its own. As a plain projection the
     optimizer would copy it into every filter on a parsed column and parse the
     line once per predicate.
     """
-    parsed = F.from_csv(column, text_schema(LOOP_FIELDS), {"mode": "PERMISSIVE"})
+    fields = LOOP_FIELDS[: LOOP_FIELDS.index(upto) + 1]
+    parsed = F.from_csv(column, text_schema(fields), {"mode": "PERMISSIVE"})
     return lines.where(has_fields(F.col(column), min_fields)).select(F.inline(F.array(parsed)))
 
 

@@ -1,4 +1,5 @@
 from laneflow.streaming.ingest import (
+    POLL_INTERVAL_S,
     ingest_measurements,
     new_measurements,
     run_available,
@@ -9,6 +10,7 @@ from laneflow.streaming.ingest import (
 from laneflow.streaming.jams import stream_traffic_jams
 
 __all__ = [
+    "POLL_INTERVAL_S",
     "ingest_measurements",
     "new_measurements",
     "run_available",
