@@ -20,8 +20,12 @@ def words(lines: DataFrame, column: str = "value") -> DataFrame:
 
 def normalised_words(lines: DataFrame, column: str = "value") -> DataFrame:
     """Lower-case pieces between blanks, with quotes and commas read as blanks."""
-    plain = F.lower(F.translate(F.col(column), '",', "  "))
-    return lines.select(F.explode(space_tokens(plain)).alias("word"))
+    blank = F.lit(" ")
+    plain = F.lower(F.replace(F.replace(column, F.lit('"'), blank), F.lit(","), blank))
+    # A step of its own: splitting looks at the line more than once.
+    return lines.select(plain.alias("line")).select(
+        F.explode(space_tokens(F.col("line"))).alias("word")
+    )
 
 
 def word_count(occurrences: DataFrame) -> DataFrame:
