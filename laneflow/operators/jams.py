@@ -79,6 +79,23 @@ def jam_record(speeds: str, flows: str) -> list[Column]:
     ]
 
 
+def pair(speeds: DataFrame, flows: DataFrame, salts: int = 1) -> DataFrame:
+    """Jam records of all pairings of slow speeds and busy flows.
+
+    With `salts` above one the flows of a key are spread over that many keys by
+    their content, and the far fewer slow speeds go to each of these.
+    """
+    condition = same_lane_and_time("s", "f")
+    if salts > 1:
+        content = F.xxhash64("measurementIndex", "value", "period")
+        flows = flows.withColumn("salt", F.pmod(content, F.lit(salts)).cast("int"))
+        speeds = speeds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        condition = condition & (F.col("s.salt") == F.col("f.salt"))
+    return (
+        speeds.alias("s").join(flows.alias("f"), condition, "inner").select(*jam_record("s", "f"))
+    )
+
+
 def traffic_jams(
     measurements: DataFrame,
     speed_low_excl: float = 30.0,
@@ -88,6 +105,7 @@ def traffic_jams(
     speed_type: str = SPEED_TYPE,
     flow_type: str = FLOW_TYPE,
     vehicle_class: str = ANY_VEHICLE,
+    salts: int = 1,
 ) -> DataFrame:
     """Every pairing of a slow speed with a busy flow at one site, time and lane.
 
@@ -95,15 +113,13 @@ def traffic_jams(
     record travel. The join is an equi-join with no hint: the planner takes a
     broadcast for a side it knows to be small, else a sort-merge join whose
     skewed partitions AQE splits. All pairs of a key are the result, so a key
-    holding many rows is spread over tasks rather than reduced.
+    holding many rows is spread over tasks rather than reduced. AQE goes by
+    bytes; where a hot key holds many alike and so well compressed rows, `salts`
+    splits it beforehand.
     """
     speeds = slow_speeds(measurements, speed_low_excl, speed_high_incl, speed_type, vehicle_class)
     flows = busy_flows(measurements, min_flow, max_period_s, flow_type, vehicle_class)
-    return (
-        speeds.alias("s")
-        .join(flows.alias("f"), same_lane_and_time("s", "f"), "inner")
-        .select(*jam_record("s", "f"))
-    )
+    return pair(speeds, flows, salts)
 
 
 def jams_per_site(jams: DataFrame, jams_per_record: int = JAMS_PER_RECORD) -> DataFrame:

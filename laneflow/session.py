@@ -8,13 +8,15 @@ import uuid
 from pyspark.sql import SparkSession
 
 # Settings the operators are tuned for. AQE coalesces small shuffle partitions
-# and splits skewed join partitions. RocksDB keeps streaming state off the heap;
+# and splits skewed join partitions, here from 64 MB on, as rows of one hot key
+# compress well. RocksDB keeps streaming state off the heap;
 # its change log makes each batch upload what changed rather than a snapshot,
 # and state format 3 keeps a join's state in one store per partition.
 RECOMMENDED = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64m",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from laneflow.operators.jams import busy_flows, jam_record, same_lane_and_time, slow_speeds
+from laneflow.operators.jams import busy_flows, pair, slow_speeds
 from laneflow.schemas import ANY_VEHICLE, FLOW_TYPE, SPEED_TYPE
 
 SALTS = 8
@@ -30,22 +29,12 @@ def stream_traffic_jams(
     watermark on it lets both sides drop their state after `delay`; rows that
     come later than that are not joined.
 
-    No adaptive split helps a stateful join, so the key itself is split: flows
-    of one site, time and lane are spread over `salts` keys by their content,
-    and the far fewer slow speeds go to each of these.
+    No adaptive split helps a stateful join, so keys are salted by default.
     """
-    speeds = (
-        slow_speeds(speed_stream, speed_low_excl, speed_high_incl, speed_type, vehicle_class)
-        .withWatermark("measurementTime", delay)
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    )
-    content = F.xxhash64("measurementIndex", "value", "period")
-    flows = (
-        busy_flows(flow_stream, min_flow, max_period_s, flow_type, vehicle_class)
-        .withWatermark("measurementTime", delay)
-        .withColumn("salt", F.pmod(content, F.lit(salts)).cast("int"))
-    )
-    condition = same_lane_and_time("s", "f") & (F.col("s.salt") == F.col("f.salt"))
-    return (
-        speeds.alias("s").join(flows.alias("f"), condition, "inner").select(*jam_record("s", "f"))
+    speeds = slow_speeds(speed_stream, speed_low_excl, speed_high_incl, speed_type, vehicle_class)
+    flows = busy_flows(flow_stream, min_flow, max_period_s, flow_type, vehicle_class)
+    return pair(
+        speeds.withWatermark("measurementTime", delay),
+        flows.withWatermark("measurementTime", delay),
+        salts,
     )
