@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from laneflow import sinks, sources, streaming
 from laneflow.operators import identity, jams, measurements, quality, sampling, sites, words
-from laneflow.session import build_session, scratch_path
+from laneflow.session import build_session, stored
 
 # Text lines in, rows out.
 LINE_JOBS: dict[str, Callable[[DataFrame], DataFrame]] = {
@@ -58,8 +58,7 @@ def traffic_jams(spark: SparkSession, options: argparse.Namespace) -> None:
     )
     records = jams.jams_per_site(found)
     if options.document:
-        records = streaming.store_once(records, scratch_path(spark, "jam-records"))
-        sinks.write_jam_document(records, options.output)
+        sinks.write_jam_document(stored(records, "jam-records"), options.output)
     else:
         sinks.write_jam_records(records, options.output)
 
@@ -84,7 +83,7 @@ def convert(spark: SparkSession, options: argparse.Namespace) -> None:
     if described is None:
         sinks.write_measurement_csv(rows, options.output)
     else:
-        enriched = measurements.enrich(rows, described)
+        enriched = measurements.enrich(rows, stored(described, "sites"))
         sinks.write_rows(sinks.measurement_lines(enriched), options.output)
     print(counts.get)
 
@@ -92,9 +91,7 @@ def convert(spark: SparkSession, options: argparse.Namespace) -> None:
 def site_dictionary(spark: SparkSession, options: argparse.Namespace) -> None:
     """Site XML to a JSON object keyed by site id."""
     records = sites.site_records(sources.read_site_xml(spark, options.input))
-    nested = streaming.store_once(
-        sites.site_dictionary(records), scratch_path(spark, "site-records")
-    )
+    nested = stored(sites.site_dictionary(records), "site-records")
     sinks.write_site_dictionary(nested, options.output)
     print(sites.site_summary(nested).first().asDict())
 
@@ -110,7 +107,7 @@ def ingest(spark: SparkSession, options: argparse.Namespace) -> None:
     """Write every snapshot landing in the input folder, until stopped."""
     described = _site_characteristics(spark, options)
     if described is not None:
-        described = streaming.store_once(described, scratch_path(spark, "sites"))
+        described = stored(described, "sites")
     parsed = sources.stream_speed_xml(spark, options.input)
     rows = streaming.ingest_measurements(parsed, described)
     checkpoint = options.checkpoint or f"{options.output.rstrip('/')}-checkpoint"

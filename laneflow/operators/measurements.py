@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from laneflow.operators.sizing import broadcast_if_small
 from laneflow.schemas import FLOW_TYPE, MEASUREMENT_13, MEASUREMENT_CORE, SPEED_TYPE
 
+# Site metadata of a country measures some tens of megabytes.
+BROADCAST_BYTES = 64 * 1024 * 1024
+
 
 def all_measurements(sites: DataFrame, *keep: str) -> DataFrame:
     """One row per measured value, erroneous ones included, with `dataError`.
@@ -67,7 +70,7 @@ def observe_ingest(measured: DataFrame) -> tuple[DataFrame, Observation]:
 def enrich(
     measurements: DataFrame,
     characteristics: DataFrame,
-    broadcast_bytes: int | None = None,
+    broadcast_bytes: int | None = BROADCAST_BYTES,
 ) -> DataFrame:
     """Measurements in the thirteen-field layout, plus the flag `enriched`.
 
@@ -75,9 +78,10 @@ def enrich(
     characteristic; other rows keep nulls. `characteristics` has at most one
     row per site and index (see `site_characteristics`).
 
-    By default the planner picks the join from the sizes it knows. With
-    `broadcast_bytes` the site side is measured first and broadcast only if it
-    is no larger than that.
+    The site side is measured first. It is broadcast if it has at most
+    `broadcast_bytes`, else the join is a sort-merge join. Hand in a stored
+    table (see `session.stored`) so that measuring is cheap. `None` leaves the
+    choice to the planner.
     """
     described = characteristics.select(
         F.col("measurementSiteId").alias("_site"),

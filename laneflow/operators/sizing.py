@@ -19,5 +19,9 @@ def text_bytes(rows: DataFrame) -> int:
 
 
 def broadcast_if_small(rows: DataFrame, limit_bytes: int) -> DataFrame:
-    """`rows` marked for broadcast if they measure at most `limit_bytes`, else as they are."""
-    return F.broadcast(rows) if text_bytes(rows) <= limit_bytes else rows
+    """`rows` marked for broadcast if they measure at most `limit_bytes`.
+
+    Larger rows are marked for a sort-merge join: the planner goes by file
+    sizes, and a small, well compressed file can hold many rows.
+    """
+    return F.broadcast(rows) if text_bytes(rows) <= limit_bytes else rows.hint("merge")

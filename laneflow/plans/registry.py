@@ -37,7 +37,7 @@ from laneflow.plans.tables import (
     table,
 )
 from laneflow.schemas import JAM_FIELDS, MEASUREMENT_12, SPEED_ROW_TAG
-from laneflow.session import scratch_path
+from laneflow.session import scratch_path, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -92,9 +92,8 @@ def traffic_jams_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def jam_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch_path(spark, "jam-records")
-    jams.jams_per_site(traffic_jams(spark, sf_dir)).write.parquet(path)
-    return sinks.jam_document(spark.read.parquet(path))
+    records = jams.jams_per_site(traffic_jams(spark, sf_dir))
+    return sinks.jam_document(stored(records, "jam-records"))
 
 
 @query
@@ -332,9 +331,8 @@ def site_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def site_dictionary_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The site dictionary written as one JSON object and read back by line."""
     path = scratch_path(spark, "site-dictionary")
-    stored = scratch_path(spark, "site-records")
-    sites.site_dictionary(_part_sites(spark, sf_dir)).write.parquet(stored)
-    sinks.write_site_dictionary(spark.read.parquet(stored), path)
+    nested = sites.site_dictionary(_part_sites(spark, sf_dir))
+    sinks.write_site_dictionary(stored(nested, "site-records"), path)
     read = sources.read_site_dictionary(spark, path, one_site_per_line=True)
     return sites.dictionary_characteristics(read)
 
@@ -350,7 +348,7 @@ def latest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    described = sites.site_characteristics(_part_sites(spark, sf_dir))
+    described = stored(sites.site_characteristics(_part_sites(spark, sf_dir)), "sites")
     measured = measurements_of_lineitems(table(spark, sf_dir, "lineitem"))
     return measurements.enrich(measured, described)
 
@@ -523,9 +521,7 @@ def snapshot_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     landing = scratch_path(spark, "landing-xml")
     _write_speed_xml(spread(table(spark, sf_dir, "events")), landing)
-    described = streaming.store_once(
-        sites.site_characteristics(_part_sites(spark, sf_dir)), scratch_path(spark, "sites")
-    )
+    described = stored(sites.site_characteristics(_part_sites(spark, sf_dir)), "sites")
     parsed = sources.stream_speed_xml(spark, landing)
     rows = streaming.ingest_measurements(parsed, described).drop("snapshot_time")
     return _run_stream(rows, "stream-ingest")

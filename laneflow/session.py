@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the operators are tuned for. AQE coalesces small shuffle partitions
 # and splits skewed join partitions, here from 64 MB on, as rows of one hot key
@@ -57,3 +57,15 @@ def shared_folder(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, purpose: str) -> str:
     """A fresh path in the shared folder; nothing exists there yet."""
     return f"{shared_folder(spark)}/laneflow/{purpose}-{uuid.uuid4().hex}"
+
+
+def stored(rows: DataFrame, purpose: str) -> DataFrame:
+    """`rows` written to a fresh shared path and read back.
+
+    For a table that is used more than once: it is computed once, and a lost
+    executor costs no more than reading a file again.
+    """
+    spark = rows.sparkSession
+    path = scratch_path(spark, purpose)
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)

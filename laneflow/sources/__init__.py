@@ -7,7 +7,7 @@ from laneflow.sources.catalogue import (
 )
 from laneflow.sources.lines import lines_of, read_lines, read_positioned_lines
 from laneflow.sources.loop import parse_loop_lines, read_loop_rows, typed_loop_rows
-from laneflow.sources.measurements import read_measurements
+from laneflow.sources.measurements import read_measurements, stream_measurements
 from laneflow.sources.site_json import read_site_dictionary
 from laneflow.sources.xml import (
     parse_site_xml,
@@ -34,6 +34,7 @@ __all__ = [
     "read_speed_xml",
     "read_tweets",
     "read_web_pages",
+    "stream_measurements",
     "stream_speed_xml",
     "typed_loop_rows",
 ]

@@ -5,7 +5,6 @@ from laneflow.streaming.ingest import (
     run_available,
     start_parquet,
     start_snapshots,
-    store_once,
 )
 from laneflow.streaming.jams import stream_traffic_jams
 
@@ -16,6 +15,5 @@ __all__ = [
     "run_available",
     "start_parquet",
     "start_snapshots",
-    "store_once",
     "stream_traffic_jams",
 ]

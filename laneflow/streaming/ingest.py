@@ -7,23 +7,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from laneflow.functions import snapshot_name
-from laneflow.operators.measurements import all_measurements, enrich, valid_measurements
+from laneflow.operators.measurements import (
+    BROADCAST_BYTES,
+    all_measurements,
+    enrich,
+    valid_measurements,
+)
 
 POLL_INTERVAL_S = 60
-SITE_BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def ingest_measurements(
     sites: DataFrame,
     characteristics: DataFrame | None = None,
-    broadcast_bytes: int | None = SITE_BROADCAST_BYTES,
+    broadcast_bytes: int | None = BROADCAST_BYTES,
 ) -> DataFrame:
     """Measurement rows of a stream (or batch) of parsed speed XML.
 
     `characteristics` is static and should be a stored table (see
-    `store_once`), since every batch reads it. It is measured when the query is
-    set up and broadcast if it has at most `broadcast_bytes`; a larger one is
-    joined by shuffle. Without it rows keep the five measurement fields.
+    `session.stored`), since every batch reads it. Without it rows keep the
+    five measurement fields.
     """
     measured = valid_measurements(all_measurements(sites, "snapshot_time"))
     if characteristics is None:
@@ -31,12 +34,6 @@ def ingest_measurements(
     return enrich(measured, characteristics, broadcast_bytes)
 
 
-def store_once(rows: DataFrame, path: str) -> DataFrame:
-    """`rows` written to a new folder and read back: computed once, of known size."""
-    rows.write.parquet(path)
-    return rows.sparkSession.read.parquet(path)
-
-
 def new_measurements(
     stream: DataFrame,
     keys: list[str],

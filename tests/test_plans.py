@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
 from laneflow.operators import jams
+from laneflow.operators.sizing import broadcast_if_small, text_bytes
 from tests.conftest import FOLDER
 
 STREAMS = {"stream_ingest", "stream_dedup", "stream_traffic_jams"}
@@ -77,3 +78,14 @@ def test_hot_site_is_spread_over_tasks(spark, small_limits, tmp_path):
     assert len(found.collect()) == hot_speeds * hot_flows
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin(skew=true)" in plan
+
+
+@pytest.mark.parametrize(
+    ("limit", "node"), [(0, "SortMergeJoin"), (1 << 20, "BroadcastHashJoin")]
+)
+def test_broadcast_only_after_measuring(spark, limit, node):
+    side = spark.range(100).withColumn("name", F.lit("x"))
+    # Eight bytes a value, plus the text of both: 100 ids, 100 names.
+    assert text_bytes(side) == 100 * 16 + sum(len(str(i)) for i in range(100)) + 100
+    joined = spark.range(10).join(broadcast_if_small(side, limit), "id", "left")
+    assert node in plan_of(joined)

@@ -3,8 +3,8 @@ from pyspark.sql import functions as F
 
 from laneflow import sources, streaming
 from laneflow.operators import jams, sites
-from laneflow.session import scratch_path
-from laneflow.sources.measurements import stream_measurements
+from laneflow.session import scratch_path, stored
+from laneflow.sources import stream_measurements
 from tests.test_jams import EXPECTED, GOLDEN, in_order
 from tests.test_xml import S1, S2, SPEEDS, site_file
 
@@ -53,9 +53,7 @@ def test_snapshots_are_taken_up_as_they_land(spark, write):
     site_rows = sites.site_records(
         sources.read_site_xml(spark, write({"s.xml": site_file(S1, S2)}, "sites"))
     )
-    described = streaming.store_once(
-        sites.site_characteristics(site_rows), scratch_path(spark, "sites")
-    )
+    described = stored(sites.site_characteristics(site_rows), "sites")
     landing = write({"a.xml": SPEEDS}, "landing")
     out, checkpoint = paths(spark)
 
