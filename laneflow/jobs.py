@@ -1,6 +1,6 @@
 """Jobs for `spark-submit`: read an input, run an operator, write an output.
 
-    spark-submit laneflow/jobs.py <job> <input> <output> [options]
+    spark-submit job.py <job> <input> <output> [options]
 
 A job is a function `DataFrame -> DataFrame` between a source and a sink, so a
 new one is a line in `LINE_JOBS` or a short function in `JOBS`.
