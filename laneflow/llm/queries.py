@@ -5,10 +5,18 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from laneflow.llm import language, mixing, packing, sharding
+from laneflow.llm import language, mixing, packing, quality, rules, sharding
 from laneflow.llm.base import held_out, table
 
 
+def op1_compression_quality(spark, folder):
+    documents = table(spark, folder, "documents")
+    model = quality.learn(documents, table(spark, folder, "labels"))
+    return quality.classify(documents, model).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted"
+    )
+
+
 def op2_sampled_shards(spark, folder):
     return sharding.shard(table(spark, folder, "documents"))
 
@@ -17,6 +25,10 @@ def op6_bin_slack_packing(spark, folder):
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_risk_controlled_rules(spark, folder):
+    return rules.judge(table(spark, folder, "documents"), table(spark, folder, "labels")).drop("stratum")
+
+
 def op9_source_mix(spark, folder):
     return mixing.mix(table(spark, folder, "documents"))
 
@@ -28,8 +40,10 @@ def op10_language(spark, folder):
 
 
 QUERIES = {
+    "op1_compression_quality": op1_compression_quality,
     "op2_sampled_shards": op2_sampled_shards,
     "op6_bin_slack_packing": op6_bin_slack_packing,
+    "op8_risk_controlled_rules": op8_risk_controlled_rules,
     "op9_source_mix": op9_source_mix,
     "op10_language": op10_language,
 }
