@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from laneflow.llm import language, mixing, packing, quality, rules, sharding
+from laneflow.llm import language, mixing, packing, quality, rules, secret_scan, sharding
 from laneflow.llm.base import held_out, table
 
 
@@ -21,6 +21,18 @@ def op2_sampled_shards(spark, folder):
     return sharding.shard(table(spark, folder, "documents"))
 
 
+def op3_markov_secrets(spark, folder):
+    documents = table(spark, folder, "documents")
+    found = secret_scan.scan(documents.select("doc_id", "text"), secret_scan.learn(documents))
+    base = F.filter("spans", lambda s: s["kind"] != secret_scan.RANDOM)
+    return found.select(
+        "doc_id",
+        *[secret_scan.of_kind(F.col("spans"), k).alias(f"n_{k}") for k in (*secret_scan.KINDS, secret_scan.RANDOM)],
+        F.sha2(secret_scan.written(base), 256).alias("base_sha256"),
+        secret_scan.written(F.col("spans")).alias("spans"),
+    )
+
+
 def op6_bin_slack_packing(spark, folder):
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -42,6 +54,7 @@ def op10_language(spark, folder):
 QUERIES = {
     "op1_compression_quality": op1_compression_quality,
     "op2_sampled_shards": op2_sampled_shards,
+    "op3_markov_secrets": op3_markov_secrets,
     "op6_bin_slack_packing": op6_bin_slack_packing,
     "op8_risk_controlled_rules": op8_risk_controlled_rules,
     "op9_source_mix": op9_source_mix,
