@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from laneflow.llm import language, mixing, packing, quality, rules, secret_scan, sharding
+from laneflow.llm import ann, language, mixing, packing, quality, rules, secret_scan, sharding
 from laneflow.llm.base import held_out, table
 
 
@@ -33,6 +33,10 @@ def op3_markov_secrets(spark, folder):
     )
 
 
+def op4_multi_index_hashing(spark, folder):
+    return ann.search(table(spark, folder, "embeddings"))
+
+
 def op6_bin_slack_packing(spark, folder):
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -55,6 +59,7 @@ QUERIES = {
     "op1_compression_quality": op1_compression_quality,
     "op2_sampled_shards": op2_sampled_shards,
     "op3_markov_secrets": op3_markov_secrets,
+    "op4_multi_index_hashing": op4_multi_index_hashing,
     "op6_bin_slack_packing": op6_bin_slack_packing,
     "op8_risk_controlled_rules": op8_risk_controlled_rules,
     "op9_source_mix": op9_source_mix,
