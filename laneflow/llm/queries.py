@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from laneflow.llm import ann, language, mixing, packing, quality, rules, secret_scan, sharding
+from laneflow.llm import ann, language, licences, mixing, packing, quality, rules, secret_scan, sharding
 from laneflow.llm.base import held_out, table
 
 
@@ -41,6 +41,14 @@ def op6_bin_slack_packing(spark, folder):
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_licence_digests(spark, folder):
+    return licences.scan(
+        table(spark, folder, "documents"),
+        licences.texts_of(spark, licences.LICENCES),
+        licences.texts_of(spark, licences.NOTICES),
+    )
+
+
 def op8_risk_controlled_rules(spark, folder):
     return rules.judge(table(spark, folder, "documents"), table(spark, folder, "labels")).drop("stratum")
 
@@ -61,8 +69,9 @@ QUERIES = {
     "op3_markov_secrets": op3_markov_secrets,
     "op4_multi_index_hashing": op4_multi_index_hashing,
     "op6_bin_slack_packing": op6_bin_slack_packing,
+    "op7_licence_digests": op7_licence_digests,
     "op8_risk_controlled_rules": op8_risk_controlled_rules,
     "op9_source_mix": op9_source_mix,
     "op10_language": op10_language,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_licence_digests": licences.oracle_sql()}
