@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from laneflow.llm import ann, language, licences, mixing, packing, quality, rules, secret_scan, sharding
+from laneflow.llm import ann, language, licences, mixing, neardup, packing, quality, rules, secret_scan, sharding
 from laneflow.llm.base import held_out, table
 
 
@@ -37,6 +37,10 @@ def op4_multi_index_hashing(spark, folder):
     return ann.search(table(spark, folder, "embeddings"))
 
 
+def op5_tensored_minhash(spark, folder):
+    return neardup.near_duplicates(table(spark, folder, "documents"), words=4)
+
+
 def op6_bin_slack_packing(spark, folder):
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -68,6 +72,7 @@ QUERIES = {
     "op2_sampled_shards": op2_sampled_shards,
     "op3_markov_secrets": op3_markov_secrets,
     "op4_multi_index_hashing": op4_multi_index_hashing,
+    "op5_tensored_minhash": op5_tensored_minhash,
     "op6_bin_slack_packing": op6_bin_slack_packing,
     "op7_licence_digests": op7_licence_digests,
     "op8_risk_controlled_rules": op8_risk_controlled_rules,
