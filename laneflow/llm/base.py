@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+import os
+import site
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from laneflow.session import stored
 
-__all__ = ["WORD", "held_out", "running_start", "stored", "table", "text_bytes", "word_count"]
+__all__ = ["WORD", "held_out", "running_start", "ship_code", "stored", "table", "text_bytes", "word_count"]
 
 # A word is a run of characters other than blank, tab, line feed, vertical tab, form feed, return.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark, folder: str, name: str) -> DataFrame:
+    """One of the given tables; what reads it may run Python on the executors."""
+    ship_code(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -60,3 +68,17 @@ def running_start(
         .withColumn(out, F.col("_start") + F.coalesce(F.sum(weight).over(within), F.lit(0)))
         .drop("_range", "_r", "_start", *[f"_g{i}" for i in range(len(group))])
     )
+
+
+def ship_code(spark) -> None:
+    """Give the executors this package where they cannot import it from their own path or working folder."""
+    root = Path(__file__).resolve().parents[2]
+    reached = [Path(p).resolve() for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep), *site.getsitepackages()] if p]
+    context = spark.sparkContext
+    if root in reached or any("laneflow-code" in f for f in context.listFiles):
+        return
+    archive = Path(tempfile.mkdtemp(prefix="laneflow-")) / "laneflow-code.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted((root / "laneflow").rglob("*.py")):
+            out.write(file, file.relative_to(root))
+    context.addPyFile(str(archive))
