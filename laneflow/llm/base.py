@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from laneflow.session import stored
 
-__all__ = ["WORD", "held_out", "running_start", "ship_code", "stored", "table", "text_bytes", "word_count"]
+__all__ = ["WORD", "fresh", "held_out", "once", "running_start", "ship_code", "stored", "table", "text_bytes", "word_count"]
 
 # A word is a run of characters other than blank, tab, line feed, vertical tab, form feed, return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -25,6 +25,14 @@ def table(spark, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def fresh(rows: DataFrame, name: str) -> str:
+    """`name`, with as many underscores before it as it takes to be no column of `rows`."""
+    taken = {c.lower() for c in rows.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def held_out(key: Column) -> Column:
     """True for the rows no model may learn from: crc32 of the key as text, modulo 4, is 2. Null keys are not held out."""
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -38,6 +46,11 @@ def text_bytes(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
 
+def once(value: Column, use) -> Column:
+    """`use(value)`, with `value` computed once per row however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def running_start(
     rows: DataFrame, group: list[str], key: str, weight: str, out: str, ties: tuple[str, ...] = (), bits: int = 10
 ) -> DataFrame:

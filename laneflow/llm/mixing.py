@@ -17,7 +17,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from laneflow.llm.base import running_start, stored, word_count
+from laneflow.llm.base import fresh, running_start, stored, word_count
 
 
 class Share(NamedTuple):
@@ -157,25 +157,25 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
     follows the text. Documents must have distinct ids; a null id leaves.
     """
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
+    key, rounds, head, size, words, text = (
+        fresh(docs, f"_mix_{n}") for n in ("id", "rounds", "head", "size", "words", "text")
+    )
     taken = mix(docs, **options).where("taken > 0").select(
-        F.col("doc_id").alias("_mix_id"), F.col("rounds").alias("_mix_rounds"),
-        F.col("head").alias("_mix_head"), F.col("size").alias("_mix_size"),
+        F.col("doc_id").alias(key), F.col("rounds").alias(rounds), F.col("head").alias(head), F.col("size").alias(size)
     )
     parts = F.concat(
-        F.array_repeat(F.col("_mix_size"), F.col("_mix_rounds").cast("int")),
-        F.when(F.col("_mix_head") > 0, F.array("_mix_head")).otherwise(F.array().cast("array<bigint>")),
+        F.array_repeat(F.col(size), F.col(rounds).cast("int")),
+        F.when(F.col(head) > 0, F.array(head)).otherwise(F.array().cast("array<bigint>")),
     )
-    cut = F.array_join(
-        F.slice(F.regexp_extract_all(F.col(text_col), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)),
-                F.lit(1), F.col("_mix_words").cast("int")), "")
-    text = F.when(F.col("_mix_words") < F.col("_mix_size"), cut).otherwise(F.col(text_col))
-    columns = {c: F.col(c) for c in docs.columns}
-    columns[text_col] = F.col("_mix_text")
+    pieces = F.regexp_extract_all(F.col(text_col), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    cut = F.array_join(F.slice(pieces, F.lit(1), F.col(words).cast("int")), "")
+    columns = {c: F.col(f"`{c}`") for c in docs.columns}
+    columns[text_col] = F.col(text)
     if "n_chars" in columns:
-        columns["n_chars"] = F.length("_mix_text").cast(docs.schema["n_chars"].dataType)
+        columns["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
     return (
-        docs.join(taken, F.col(id_col) == F.col("_mix_id"))
-        .withColumn("_mix_words", F.explode(parts))
-        .withColumn("_mix_text", text)
+        docs.join(taken, F.col(id_col) == F.col(key))
+        .withColumn(words, F.explode(parts))
+        .withColumn(text, F.when(F.col(words) < F.col(size), cut).otherwise(F.col(text_col)))
         .select(*[c.alias(n) for n, c in columns.items()])
     )

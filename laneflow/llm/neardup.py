@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from laneflow.llm.base import stored
+from laneflow.llm.base import fresh, stored
 
 FIRST, FIRST_HASHES = 10, 2
 SECOND, SECOND_HASHES = 14, 3
@@ -455,5 +455,6 @@ def near_duplicates(
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """`docs`, in its columns, without the documents that a linked one with a smaller id stands for."""
-    gone = near_duplicates(docs, id_col=id_col, **options).where("NOT kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    name = fresh(docs, "_gone")
+    gone = near_duplicates(docs, id_col=id_col, **options).where("NOT kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col(id_col) == F.col(name), "left_anti")

@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from laneflow.llm.base import held_out
+from laneflow.llm.base import fresh, held_out
 
 THRESHOLD = 0.7
 LEVEL = 3
@@ -170,6 +170,5 @@ def classify(
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of `docs`, in its columns, whose score is at least `threshold`."""
-    return with_score(docs, model, "_quality_score").where(F.col("_quality_score") >= threshold).select(
-        *[F.col(f"`{c}`") for c in docs.columns]
-    )
+    name = fresh(docs, "_quality_score")
+    return with_score(docs, model, name).where(F.col(name) >= threshold).drop(name)

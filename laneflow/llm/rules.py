@@ -15,7 +15,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from laneflow.llm.base import WORD, held_out, stored
+from laneflow.llm.base import WORD, held_out, once, stored
 
 # Rule: value as SQL of the counts, and the cutoffs tried. A text fails above the cutoff.
 RULES: dict[str, tuple[str, list[float]]] = {
@@ -30,11 +30,6 @@ RULES: dict[str, tuple[str, list[float]]] = {
 LEAST_WORDS = 50
 
 
-def once(value: Column, use) -> Column:
-    """`use(value)`, with `value` computed once per row however often it is used."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def repeated_words(words: Column) -> Column:
     """Words inside 3-word windows that occur twice or more, the first occurrence included.
 

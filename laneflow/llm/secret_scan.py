@@ -14,7 +14,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from laneflow.llm.rules import once
+from laneflow.llm.base import fresh, once
 
 # Fixed patterns. Each is (regular expression, replacement with frames, least length of the value).
 KINDS: dict[str, tuple[str, str, int]] = {
@@ -194,13 +194,12 @@ def scan(docs: DataFrame, models: Models, text_col: str = "text", out: str = "sp
     mixed = lambda v: (v.rlike("[0-9]") & v.rlike("[A-Za-z]")) | (v.rlike("[a-z]") & v.rlike("[A-Z]"))
     keep = lambda v: mixed(v) & (ratio(v, models.ratios) > models.margin)
     method = matches(text, RANDOM, len(KINDS), RUN, "\x01\x03$1\x02", keep)
-    return (
-        docs.withColumn("_base_spans", base_spans(text)).withColumn("_run_spans", method)
-        .withColumn(out, F.array_sort(F.concat("_base_spans", F.filter(
-            "_run_spans",
-            lambda r: ~F.exists("_base_spans", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"]))))))
-        .drop("_base_spans", "_run_spans")
-    )
+
+    def both(base: Column) -> Column:
+        clear = lambda r: ~F.exists(base, lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"]))
+        return F.array_sort(F.concat(base, F.filter(method, clear)))
+
+    return docs.withColumn(out, once(base_spans(text), both))
 
 
 def written(spans: Column) -> Column:
@@ -231,14 +230,14 @@ def masked(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 
 def mask(docs: DataFrame, models: Models, text_col: str = "text") -> DataFrame:
     """`docs`, in its columns, with its secrets masked; `n_chars`, where it is a column, follows the text."""
+    spans = fresh(docs, "_secret_spans")
+    found = scan(docs, models, text_col, spans)
+    text = fresh(found, "_masked")
     columns = {c: F.col(f"`{c}`") for c in docs.columns}
-    columns[text_col] = F.col("_masked")
+    columns[text_col] = F.col(text)
     if "n_chars" in columns:
-        columns["n_chars"] = F.when(
-            F.size("_secret_spans") > 0, F.length("_masked").cast(docs.schema["n_chars"].dataType)
-        ).otherwise(F.col("n_chars"))
-    return (
-        scan(docs, models, text_col, "_secret_spans")
-        .withColumn("_masked", masked(F.col(text_col), F.col("_secret_spans")))
-        .select(*[c.alias(n) for n, c in columns.items()])
+        length = F.length(text).cast(docs.schema["n_chars"].dataType)
+        columns["n_chars"] = F.when(F.size(spans) > 0, length).otherwise(F.col("n_chars"))
+    return found.withColumn(text, masked(F.col(text_col), F.col(spans))).select(
+        *[c.alias(n) for n, c in columns.items()]
     )

@@ -1,0 +1,57 @@
+import os
+
+import public_tokenizers
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from laneflow.llm import neardup, quality, queries
+from tests.llm.test_neardup import brute
+
+FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
+
+def test_stages_one_by_one(spark):
+    """Each stage on what the one before kept, against what its operator and brute force say."""
+    planted = F.when(F.col("doc_id") % 40 == 0, F.concat("text", F.lit(" password=0a1b2c3d"))).otherwise(F.col("text"))
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").withColumn("text", planted).cache()
+    names = [name for name, _ in corpus_pipeline.STAGES]
+    assert names == ["quality classifier", "MinHash near-dedup", "secret scans", "mixing sources to target weights", "packing"]
+    stages = [stage for _, stage in corpus_pipeline.STAGES]
+
+    good = stages[0](spark, docs, FOLDER).cache()
+    model = quality.learn(docs, spark.read.parquet(f"{FOLDER}/labels.parquet"))
+    wanted = quality.classify(docs, model).where("predicted = 1")
+    assert sorted(r[0] for r in good.select("doc_id").collect()) == sorted(r["doc_id"] for r in wanted.collect())
+
+    single = stages[1](spark, good, FOLDER).cache()
+    comps, _ = brute([(r["doc_id"], r["text"]) for r in good.collect()], 5)
+    assert {r["doc_id"] for r in single.collect()} == {i for i, c in comps.items() if i == c}
+
+    clean = stages[2](spark, single, FOLDER).cache()
+    assert clean.count() == single.count()
+    left = clean.where(F.col("text").rlike(r"AKIA[A-Z0-9]{16}|[0-9a-f]{24}|password=[A-Za-z0-9]{6}"))
+    assert left.count() == 0 and clean.where(F.col("text").contains("[SECRET]")).count() > 0
+
+    mixed = stages[3](spark, clean, FOLDER).cache()
+    for frame in (good, single, clean, mixed):
+        assert frame.schema.names == docs.schema.names and [f.dataType for f in frame.schema] == [f.dataType for f in docs.schema]
+
+    packed = stages[4](spark, mixed, FOLDER).collect()
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tokens = sum(len(tokenizer.encode(r["text"], add_special_tokens=False).ids) + 1 for r in mixed.collect())
+    assert sum(p["length"] for p in packed) == tokens
+    for frame in (docs, good, single, clean, mixed):
+        frame.unpersist()
+
+
+def test_run_gives_the_last_stage(spark):
+    result = corpus_pipeline.run(spark, FOLDER)
+    assert {"doc_id", "start", "length", "sequence_id", "offset"} <= set(result.columns) and result.count() > 0
+
+
+def test_one_query_per_operator():
+    numbers = sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES)
+    assert numbers == list(range(1, 11))
+    assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
+    assert neardup.near_duplicates.__defaults__[:2] == (5, 80)

@@ -1,0 +1,88 @@
+import hashlib
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from laneflow.llm import secret_scan as secrets
+
+ASSIGN = re.compile(r"(?ai:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
+ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]+")
+
+
+def base(text):
+    found = [(m.start(), 0, "assign", m.end()) for m in ASSIGN.finditer(text) if len(m.group(2)) >= 6]
+    found += [(m.start(), 1, "access", m.end()) for m in ACCESS.finditer(text) if len(m.group()) >= 20]
+    found += [(m.start(), 2, "hex", m.end()) for m in HEX.finditer(text) if len(m.group()) >= 24]
+    return ",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted(found))
+
+
+KEY = "q7Zx9Lm2Vb4Kt8Rw1Ny6Pc3Hd5"
+TEXTS = [
+    "password=hunter22 and Token : 'abc' then api_key=\"x1y2z3\"",
+    "secret=token: abcdefgh",  # the first match fails and has used up the second's keyword
+    "APIKEY   =   zzzzzz, passwd:" + "a" * 50,
+    "AKIA" + "A" * 15 + " AKIA" + "B" * 16 + " AKIAAKIA" + "C" * 16,
+    "token=" + "0123456789abcdef" * 2 + "Z é" + "f" * 24 + " 😀 " + "e" * 23,
+    "\x01\x02password=\x03abcdefgh secret=abcdef\x01",
+    "no secrets here, only words and the_onha_ingst_andre_tion_ou with theOnhaIngstAndreTionou2",
+    "the key " + KEY + " is loose", "", None, " \n\t", "token=" + "k" * 120_000,
+    "passwordpassword==secret:abcdefg", "ſecret=abcdefgh toKen=abcdefgh",  # long s and Kelvin sign are not s and k
+]
+
+
+@pytest.fixture(scope="module")
+def models(spark):
+    from tests.llm.conftest import Words
+
+    docs = spark.createDataFrame([(i, Words(i).text(80)) for i in range(60)], "doc_id long, text string")
+    return secrets.learn(docs, strings=1500)
+
+
+def test_base_spans_equal_brute_force(documents, models):
+    docs = documents([*enumerate(TEXTS), (None, TEXTS[0]), (0, TEXTS[0])], extra=("spans", "at", "kind"))
+    found = secrets.scan(docs, models, out="found").select(
+        "doc_id", "text", secrets.written(F.filter("found", lambda s: s["kind"] != secrets.RANDOM)).alias("base"),
+        F.sha2(secrets.written(F.filter("found", lambda s: s["kind"] != secrets.RANDOM)), 256).alias("sha"),
+    ).collect()
+    assert len(found) == len(TEXTS) + 2
+    for r in found:
+        assert r["base"] == base(r["text"] or "")
+        assert r["sha"] == hashlib.sha256(base(r["text"] or "").encode()).hexdigest()
+
+
+def test_method_finds_loose_keys_and_leaves_identifiers(documents, models):
+    found = secrets.scan(documents(list(enumerate(TEXTS))), models).select("doc_id", "spans").collect()
+    spans = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in found}
+    assert spans[7] == [("markov", 8, 8 + len(KEY))]
+    assert spans[6] == []
+    assert all(k != "markov" for i, s in spans.items() if i != 7 for k, _, _ in s)
+
+
+def test_models_tell_held_out_strings_apart(spark, models):
+    from tests.llm.conftest import Words
+
+    random = secrets.random_strings(spark, 2500).where(F.monotonically_increasing_id() >= 0).select("string").limit(2500).collect()[1500:]
+    w = Words(99)
+    names = ["_".join(w.word() for _ in range(6)) for _ in range(500)] + ["".join(w.word().title() for _ in range(6)) + "1" for _ in range(500)]
+    frame = spark.createDataFrame([(r[0], 1) for r in random] + [(n, 0) for n in names if len(n) >= 20], "string string, random int")
+    right = frame.select(((secrets.ratio(F.col("string"), models.ratios) > models.margin).cast("int") == F.col("random")).alias("ok"))
+    ok = [r["ok"] for r in right.collect()]
+    assert sum(ok) >= 0.99 * len(ok)
+
+
+def test_masking_hides_every_span_and_nothing_else(documents, models):
+    docs = documents([*enumerate(TEXTS)], extra=("at", "_base_spans"))
+    masked = secrets.mask(docs, models)
+    assert masked.columns == docs.columns
+    got = {r["doc_id"]: r for r in masked.collect()}
+    assert got[0]["text"] == "[SECRET] and Token : 'abc' then [SECRET]\""
+    assert got[7]["text"] == "the key [SECRET] is loose"
+    assert got[9]["text"] is None and got[6]["text"] == TEXTS[6]
+    assert got[4]["text"] == "[SECRET] é[SECRET] 😀 " + "e" * 23
+    assert all(r["n_chars"] == (len(r["text"]) if r["text"] is not None else None) for r in got.values())
+
+
+def test_empty_tables(documents):
+    docs = documents([])
+    assert secrets.scan(docs, secrets.learn(docs, strings=60)).collect() == []
