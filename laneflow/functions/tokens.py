@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def text_lines(text: Column) -> Column:
-    """Lines of a text, as an array."""
-    return F.split(text, "\n", -1)
+    """Lines of a text, as an array; line ends are those of the text source."""
+    return F.split(text, "\r\n|\n|\r", -1)
 
 
 def whitespace_tokens(line: Column) -> Column:

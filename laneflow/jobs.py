@@ -47,7 +47,7 @@ def run_line_job(
 
 
 def traffic_jams(spark: SparkSession, options: argparse.Namespace) -> None:
-    """Jam records per site as JSON lines, or as one JSON array with `--document`."""
+    """Jams as JSON lines, or per site in one JSON array with `--document`."""
     rows = sources.read_measurements(spark, options.input, options.fields, options.header)
     found = jams.traffic_jams(
         rows,
@@ -56,11 +56,10 @@ def traffic_jams(spark: SparkSession, options: argparse.Namespace) -> None:
         min_flow=options.min_flow,
         max_period_s=options.max_period,
     )
-    records = jams.jams_per_site(found)
     if options.document:
-        sinks.write_jam_document(stored(records, "jam-records"), options.output)
+        sinks.write_jam_document(stored(found, "jams"), options.output)
     else:
-        sinks.write_jam_records(records, options.output)
+        sinks.write_jam_lines(found, options.output)
 
 
 def _site_characteristics(spark: SparkSession, options: argparse.Namespace) -> DataFrame | None:
@@ -98,9 +97,8 @@ def site_dictionary(spark: SparkSession, options: argparse.Namespace) -> None:
 
 def sample(spark: SparkSession, options: argparse.Namespace) -> None:
     """Lines from the start of the input up to a number of bytes."""
-    sinks.write_rows(
-        sampling.byte_budget_lines(spark, options.input, options.bytes), options.output
-    )
+    lines = sampling.byte_budget_lines(spark, options.input, options.bytes)
+    sinks.write_rows(lines.select("value"), options.output)
 
 
 def ingest(spark: SparkSession, options: argparse.Namespace) -> None:

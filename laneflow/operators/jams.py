@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from laneflow.functions import average_flow, double_of, long_of
 from laneflow.schemas import ANY_VEHICLE, FLOW_TYPE, JAM_FIELDS, SPEED_TYPE
 
-# A record of a busy site is split once it would hold more jams than this.
-JAMS_PER_RECORD = 50_000
+# Into how many keys a join key is spread; the far smaller side is copied as often.
+SALTS = 8
 
 
 def slow_speeds(
@@ -79,7 +79,7 @@ def jam_record(speeds: str, flows: str) -> list[Column]:
     ]
 
 
-def pair(speeds: DataFrame, flows: DataFrame, salts: int = 1) -> DataFrame:
+def pair(speeds: DataFrame, flows: DataFrame, salts: int = SALTS) -> DataFrame:
     """Jam records of all pairings of slow speeds and busy flows.
 
     With `salts` above one the flows of a key are spread over that many keys by
@@ -105,7 +105,7 @@ def traffic_jams(
     speed_type: str = SPEED_TYPE,
     flow_type: str = FLOW_TYPE,
     vehicle_class: str = ANY_VEHICLE,
-    salts: int = 1,
+    salts: int = SALTS,
 ) -> DataFrame:
     """Every pairing of a slow speed with a busy flow at one site, time and lane.
 
@@ -114,68 +114,20 @@ def traffic_jams(
     broadcast for a side it knows to be small, else a sort-merge join whose
     skewed partitions AQE splits. All pairs of a key are the result, so a key
     holding many rows is spread over tasks rather than reduced. AQE goes by
-    bytes; where a hot key holds many alike and so well compressed rows, `salts`
-    splits it beforehand.
+    bytes, and a hot key of many alike and so well compressed rows stays below
+    its limit, so keys are spread by `salts` beforehand.
     """
     speeds = slow_speeds(measurements, speed_low_excl, speed_high_incl, speed_type, vehicle_class)
     flows = busy_flows(measurements, min_flow, max_period_s, flow_type, vehicle_class)
     return pair(speeds, flows, salts)
 
 
-def jams_per_site(jams: DataFrame, jams_per_record: int = JAMS_PER_RECORD) -> DataFrame:
-    """One record per site with its list of jams, sorted by time, lane and flow.
+# A site's jams by time, lane and flow, the other fields deciding between equals.
+JAM_ORDER = ["measurementTime", "lane", "averageFlow"]
+JAM_ORDER += [name for name in JAM_FIELDS if name not in ("measurementSiteId", *JAM_ORDER)]
 
-    A list lives in one task, so its length has to be bounded. Equal jams are
-    first counted, which also shrinks the shuffle; a site with more than
-    `jams_per_record` jams then gets several records, numbered by `recordNo`,
-    that together hold all of them.
-    """
-    counted = jams.groupBy(*JAM_FIELDS).agg(F.count("*").alias("copies"))
-    site_size = counted.groupBy(F.col("measurementSiteId").alias("site")).agg(
-        F.sum("copies").alias("site_jams")
-    )
-    sized = counted.join(
-        site_size, F.col("measurementSiteId").eqNullSafe(F.col("site")), "inner"
-    )
-
-    # A jam repeated very often is itself cut into pieces before it is placed.
-    piece_size = max(1, jams_per_record // 8)
-    pieces = sized.select(
-        *JAM_FIELDS,
-        F.ceil(F.col("site_jams") / jams_per_record).alias("records"),
-        "copies",
-        F.explode(
-            F.sequence(
-                F.lit(0).cast("bigint"), F.floor((F.col("copies") - 1) / piece_size)
-            )
-        ).alias("piece"),
-    )
-    placed = pieces.select(
-        F.pmod(F.xxhash64(*JAM_FIELDS, "piece"), F.col("records")).alias("recordNo"),
-        F.least(F.lit(piece_size), F.col("copies") - F.col("piece") * piece_size)
-        .cast("int")
-        .alias("times"),
-        *JAM_FIELDS,
-    )
 
-    sort_fields = ["measurementTime", "lane", "averageFlow"]
-    sort_key = F.struct(*sort_fields, *[f for f in JAM_FIELDS if f not in sort_fields])
-    entry = F.struct(sort_key.alias("key"), F.struct(*JAM_FIELDS).alias("jam"), "times")
-    gathered = placed.groupBy("measurementSiteId", "recordNo").agg(
-        F.array_sort(F.collect_list(entry)).alias("entries")
-    )
-    listed = F.flatten(
-        F.transform("entries", lambda e: F.array_repeat(e["jam"], e["times"]))
-    )
-    return gathered.select("measurementSiteId", "recordNo", listed.alias("trafficJams"))
-
-
-def jam_json(records: DataFrame) -> DataFrame:
-    """Each per-site record as JSON text, missing values written as null."""
-    document = F.struct("measurementSiteId", "trafficJams")
-    return records.select(
-        "measurementSiteId",
-        "recordNo",
-        F.size("trafficJams").cast("bigint").alias("jams"),
-        F.to_json(document, {"ignoreNullFields": "false"}).alias("json"),
-    )
+def jam_json(jams: DataFrame) -> DataFrame:
+    """Each jam as JSON text, missing values written as null, with its site."""
+    text = F.to_json(F.struct(*JAM_FIELDS), {"ignoreNullFields": "false"})
+    return jams.select("measurementSiteId", text.alias("json"))

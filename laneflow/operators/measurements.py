@@ -5,12 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from laneflow.operators.sizing import broadcast_if_small
 from laneflow.schemas import FLOW_TYPE, MEASUREMENT_13, MEASUREMENT_CORE, SPEED_TYPE
 
-# Site metadata of a country measures some tens of megabytes.
-BROADCAST_BYTES = 64 * 1024 * 1024
-
 
 def all_measurements(sites: DataFrame, *keep: str) -> DataFrame:
     """One row per measured value, erroneous ones included, with `dataError`.
@@ -67,21 +63,16 @@ def observe_ingest(measured: DataFrame) -> tuple[DataFrame, Observation]:
     return observed, observation
 
 
-def enrich(
-    measurements: DataFrame,
-    characteristics: DataFrame,
-    broadcast_bytes: int | None = BROADCAST_BYTES,
-) -> DataFrame:
+def enrich(measurements: DataFrame, characteristics: DataFrame) -> DataFrame:
     """Measurements in the thirteen-field layout, plus the flag `enriched`.
 
     Site fields are attached where the site and the index both match a
     characteristic; other rows keep nulls. `characteristics` has at most one
     row per site and index (see `site_characteristics`).
 
-    The site side is measured first. It is broadcast if it has at most
-    `broadcast_bytes`, else the join is a sort-merge join. Hand in a stored
-    table (see `session.stored`) so that measuring is cheap. `None` leaves the
-    choice to the planner.
+    The join has no hint: the planner, and AQE once the side has been shuffled,
+    broadcast a site side below the session's threshold, else AQE splits the
+    partitions of hot sites in the sort-merge join.
     """
     described = characteristics.select(
         F.col("measurementSiteId").alias("_site"),
@@ -89,8 +80,6 @@ def enrich(
         *[name for name in MEASUREMENT_13 if name not in MEASUREMENT_CORE],
         F.lit(True).alias("enriched"),
     )
-    if broadcast_bytes is not None:
-        described = broadcast_if_small(described, broadcast_bytes)
     joined = measurements.join(
         described,
         (F.col("measurementSiteId") == F.col("_site"))

@@ -92,8 +92,8 @@ def unambiguous_limit(pairs: DataFrame) -> DataFrame:
     )
 
 
-def crowded_places(places: DataFrame, roads: DataFrame, radius_m: float) -> DataFrame:
-    """Places sure to have three or more ways in reach, found without comparing points.
+def away_from_crowds(places: DataFrame, roads: DataFrame, radius_m: float) -> DataFrame:
+    """`places` without those sure to have three or more ways in reach, which no points need to be compared for.
 
     Two points in a cell whose diagonal is below the radius are in reach of
     each other. A cell with three ways therefore settles every place in it.
@@ -108,7 +108,7 @@ def crowded_places(places: DataFrame, roads: DataFrame, radius_m: float) -> Data
         .where("count >= 3")
         .drop("count")
     )
-    return places.withColumns(fine).join(crowded, _CELL, "left_semi").select(*places.columns)
+    return places.withColumns(fine).join(crowded, _CELL, "left_anti").select(*places.columns)
 
 
 def speed_limits(
@@ -146,8 +146,7 @@ def speed_limits(
         .distinct()
         .select("latitude", "longitude", *_position())
     )
-    crowded = crowded_places(places, points, radius_m).select("latitude", "longitude")
-    open_places = places.join(crowded, ["latitude", "longitude"], "left_anti")
+    open_places = away_from_crowds(places, points, radius_m)
     found = unambiguous_limit(nearby_ways(open_places, points, radius_m, cell_m)).select(
         F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon"), "maxspeed"
     )

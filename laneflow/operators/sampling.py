@@ -15,6 +15,8 @@ SAMPLE_BYTES = 20_000_000
 # The running total is only formed over a stretch no larger than this.
 STRETCH_BYTES = 64 * 1024 * 1024
 FANOUT = 1024
+# The place of rows without a position.
+LAST = 1 << 62
 
 
 def preview(rows: DataFrame, order: str, n: int = PREVIEW_ROWS) -> DataFrame:
@@ -37,7 +39,7 @@ def byte_budget_rows(
     """Rows from the start, by ascending `position`, until `budget` bytes are reached.
 
     The row that crosses the budget is included. `position` is a non-negative
-    integer column; `size` gives the bytes of a row.
+    integer column, and rows without one come last; `size` gives the bytes of a row.
 
     Instead of one running total over everything, the crossing point is
     narrowed down by sums over at most `FANOUT` position ranges per pass, each
@@ -51,7 +53,7 @@ def byte_budget_rows(
     before = 0
     stretch = sized
     keys = [
-        F.col(position).cast("bigint"),
+        F.coalesce(F.col(position).cast("bigint"), F.lit(LAST)),
         F.shiftrightunsigned(F.xxhash64(*rows.columns), 2),
     ]
     for key in keys:
@@ -100,7 +102,10 @@ def _union(parts: list[DataFrame], rows: DataFrame) -> DataFrame:
 def byte_budget_lines(
     spark: SparkSession, path: str, budget: int = SAMPLE_BYTES
 ) -> DataFrame:
-    """Lines of text files, in file order, until `budget` bytes are reached.
+    """(position, value): lines of text files, in order, until `budget` bytes are reached.
+
+    `position` counts the bytes of the lines before. The rows are sorted; as
+    they come to about the budget, so is the work of the sort.
 
     File sizes alone tell which files can hold lines of the sample, so only
     those are read; within them the running total is per input split, which
@@ -116,7 +121,7 @@ def byte_budget_lines(
     )
     paths = [row["path"] for row in needed.toLocalIterator()]
     if not paths or budget <= 0:
-        return spark.createDataFrame([], "value STRING")
+        return spark.createDataFrame([], "position BIGINT, value STRING")
     lines = read_positioned_lines(spark, paths).where(F.col("split_start") / 2 < budget)
     lines = lines.withColumn("size", line_bytes(F.col("value")))
 
@@ -133,5 +138,6 @@ def byte_budget_lines(
         lines.join(splits, place, "inner")
         .withColumn("start", start)
         .where(F.col("start") < budget)
-        .select("value")
+        .select(F.col("start").alias("position"), "value")
+        .orderBy("position")
     )

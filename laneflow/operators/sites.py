@@ -56,8 +56,8 @@ def _characteristic_list() -> Column:
     indexes = F.transform(source, lambda c: c["_index"])
     last = F.filter(
         source,
-        lambda c, i: ~F.array_contains(
-            F.slice(indexes, i + F.lit(2), F.size(indexes)), F.coalesce(c["_index"], F.lit(""))
+        lambda c, i: ~F.exists(
+            F.slice(indexes, i + F.lit(2), F.size(indexes)), lambda later: later.eqNullSafe(c["_index"])
         ),
     )
 

@@ -29,11 +29,10 @@ WITH m AS (
 
 _JAMS = _MEASURED + " SELECT * FROM jam"
 
-_JAM_RECORDS = (
+_JAM_JSON = (
     _MEASURED
-    + """, record AS (
-  SELECT "measurementSiteId", count(*) AS jams,
-    '{"measurementSiteId":"' || "measurementSiteId" || '","trafficJams":[' || string_agg(
+    + """, lines AS (
+  SELECT *,
       '{"measurementSiteId":"' || "measurementSiteId" ||
       '","measurementTime":"' || "measurementTime" ||
       '","measurementSiteName":"' || "measurementSiteName" ||
@@ -41,10 +40,8 @@ _JAM_RECORDS = (
       ',"lane":' || coalesce('"' || lane || '"', 'null') ||
       ',"nrOfLanes":"' || "nrOfLanes" ||
       '","averageSpeed":' || "averageSpeed" || ',"averageFlow":' || "averageFlow" ||
-      ',"period":' || period || '}',
-      ',' ORDER BY "measurementTime", lane NULLS FIRST, "averageFlow", "averageSpeed", period
-    ) || ']}' AS json
-  FROM jam GROUP BY "measurementSiteId"
+      ',"period":' || period || '}' AS json
+  FROM jam
 )"""
 )
 
@@ -73,7 +70,7 @@ FROM loop"""
 
 _LINES = r"""
 WITH line AS (
-  SELECT unnest(string_split(text, chr(10))) AS line FROM documents
+  SELECT unnest(string_split_regex(text, '\r\n|\n|\r')) AS line FROM documents
 )"""
 _WORDS_NORM = (
     _LINES
@@ -179,16 +176,22 @@ _FLOWS = """
 
 ORACLE_SQL: dict[str, str] = {
     "traffic_jams": _JAMS,
-    "traffic_jams_json": _JAM_RECORDS
-    + ' SELECT "measurementSiteId", CAST(0 AS BIGINT) AS "recordNo", jams, json FROM record',
-    "jam_document": _JAM_RECORDS
+    "traffic_jams_json": _JAM_JSON + ' SELECT "measurementSiteId", json FROM lines',
+    "jam_document": _JAM_JSON
     + """, placed AS (
-  SELECT json, row_number() OVER (ORDER BY "measurementSiteId") AS no, count(*) OVER () AS last
-  FROM record
+  SELECT "measurementSiteId" AS site, json,
+         row_number() OVER (PARTITION BY "measurementSiteId" ORDER BY
+           "measurementTime", lane NULLS FIRST, "averageFlow", "averageSpeed", period) AS no,
+         count(*) OVER (PARTITION BY "measurementSiteId") AS last,
+         min("measurementSiteId") OVER () AS first_site
+  FROM lines
 )
-SELECT CASE WHEN no = 1 THEN '[ ' ELSE '' END || json
-       || CASE WHEN no = last THEN ']' ELSE ', ' END AS value
-FROM placed""",
+SELECT CASE WHEN no > 1 THEN ','
+            ELSE CASE WHEN site = first_site THEN '' ELSE ', ' END
+                 || '{"measurementSiteId":"' || site || '","trafficJams":[' END
+       || json || CASE WHEN no = last THEN ']}' ELSE '' END AS value
+FROM placed
+UNION ALL SELECT '[ ' UNION ALL SELECT ']'""",
     "jam_json_file": _JAMS,
     "traffic_jams_csv": _JAMS,
     "stream_traffic_jams": _JAMS,
@@ -274,7 +277,7 @@ WITH line AS (
          sum(octet_length(encode(value)) + 1) OVER (ORDER BY doc_id, no) AS upto
   FROM line
 )
-SELECT value, count(*) AS n FROM placed WHERE upto - size < 200000 GROUP BY value""",
+SELECT CAST(upto - size AS BIGINT) AS position, value FROM placed WHERE upto - size < 200000""",
     "row_count": "SELECT count(*) AS n FROM pages",
     "avg_token_lengths": r"""
 SELECT round(avg(len(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+'))), 6) AS avg_text_tokens,

@@ -32,7 +32,6 @@ from laneflow.plans.tables import (
     sites_of_suppliers,
     speed_elements_of_events,
     speed_xml_of_events,
-    spread,
     stream_table,
     table,
 )
@@ -50,9 +49,6 @@ SAMPLE_BUDGET = 200_000
 # Bounds the size of a compressed snapshot, which one task has to read.
 ROWS_PER_XML_FILE = 100_000
 
-# How far apart in time two copies of an event, or a speed and its flow, may
-# arrive. The event table is taken up in any file order, so this covers it all.
-EVENT_DELAY = "60 days"
 DEDUP_SALTS = 8
 
 
@@ -87,27 +83,24 @@ def traffic_jams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def traffic_jams_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jams.jam_json(jams.jams_per_site(traffic_jams(spark, sf_dir)))
+    return jams.jam_json(traffic_jams(spark, sf_dir))
 
 
 @query
 def jam_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = jams.jams_per_site(traffic_jams(spark, sf_dir))
-    return sinks.jam_document(stored(records, "jam-records"))
+    return sinks.jam_document(stored(traffic_jams(spark, sf_dir), "jams"))
 
 
 @query
 def jam_json_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "jam-json")
-    records = jams.jams_per_site(traffic_jams(spark, sf_dir))
-    sinks.write_jam_records(records, path)
-    record = f"measurementSiteId STRING, trafficJams ARRAY<STRUCT<{_jam_struct()}>>"
-    return spark.read.schema(record).json(path).select(F.inline("trafficJams"))
+    sinks.write_jam_lines(traffic_jams(spark, sf_dir), path)
+    return spark.read.schema(_jam_struct()).json(path)
 
 
 def _jam_struct() -> str:
     numbers = {"latitude", "longitude", "averageSpeed", "averageFlow", "period"}
-    return ", ".join(f"{f}: {'DOUBLE' if f in numbers else 'STRING'}" for f in JAM_FIELDS)
+    return ", ".join(f"{f} {'DOUBLE' if f in numbers else 'STRING'}" for f in JAM_FIELDS)
 
 
 @query
@@ -166,7 +159,7 @@ def short_period_flow_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _loop_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(loop_lines_of_events(table(spark, sf_dir, "events")))
+    return loop_lines_of_events(table(spark, sf_dir, "events"))
 
 
 def _loop_rows(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
@@ -178,7 +171,8 @@ _LOOP_SHOWN = ["measurementSiteReference", "index", "avgVehicleSpeed", "avgTrave
 
 @query
 def usable_travel_time_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.usable_travel_time_rows(_loop_rows(spark, sf_dir)).select(*_LOOP_SHOWN)
+    rows = _loop_rows(spark, sf_dir, upto="avgTravelTime")
+    return quality.usable_travel_time_rows(rows).select(*_LOOP_SHOWN)
 
 
 @query
@@ -189,7 +183,8 @@ def usable_travel_time_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def usable_speed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.usable_speed_rows(_loop_rows(spark, sf_dir)).select(*_LOOP_SHOWN)
+    rows = _loop_rows(spark, sf_dir, upto="avgTravelTime")
+    return quality.usable_speed_rows(rows).select(*_LOOP_SHOWN)
 
 
 @query
@@ -249,7 +244,7 @@ def field_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = table(spark, sf_dir, "documents").select("text")
-    return words.lines_of_texts(spread(texts), "text")
+    return words.lines_of_texts(texts, "text")
 
 
 @query
@@ -271,7 +266,7 @@ def word_count_norm_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    xml = speed_xml_of_events(spread(table(spark, sf_dir, "events")))
+    xml = speed_xml_of_events(table(spark, sf_dir, "events"))
     return measurements.all_measurements(sources.parse_speed_xml(xml, "xml"))
 
 
@@ -289,7 +284,7 @@ def datex_ingest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def speed_xml_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measurement rows out of gzip-compressed snapshot files."""
     path = scratch_path(spark, "speed-xml-gz")
-    _write_speed_xml(spread(table(spark, sf_dir, "events")), path, compression="gzip")
+    _write_speed_xml(table(spark, sf_dir, "events"), path, compression="gzip")
     parsed = sources.read_speed_xml(spark, path)
     return measurements.valid_measurements(measurements.all_measurements(parsed))
 
@@ -308,7 +303,7 @@ def _write_speed_xml(events: DataFrame, path: str, **options: str) -> None:
 
 
 def _part_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    xml = site_xml_of_parts(spread(table(spark, sf_dir, "part")))
+    xml = site_xml_of_parts(table(spark, sf_dir, "part"))
     return sites.site_records(sources.parse_site_xml(xml, "xml", order="record_no"))
 
 
@@ -333,7 +328,7 @@ def site_dictionary_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "site-dictionary")
     nested = sites.site_dictionary(_part_sites(spark, sf_dir))
     sinks.write_site_dictionary(stored(nested, "site-records"), path)
-    read = sources.read_site_dictionary(spark, path, one_site_per_line=True)
+    read = sources.read_site_dictionary(spark, path)
     return sites.dictionary_characteristics(read)
 
 
@@ -407,8 +402,7 @@ def byte_budget_file_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "document-lines")
     texts = table(spark, sf_dir, "documents").orderBy("doc_id").select("text")
     sinks.write_rows(texts, path)
-    sample = sampling.byte_budget_lines(spark, path, SAMPLE_BUDGET)
-    return profile.group_counts(sample, "value")
+    return sampling.byte_budget_lines(spark, path, SAMPLE_BUDGET)
 
 
 @query
@@ -418,7 +412,7 @@ def row_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def avg_token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = spread(table(spark, sf_dir, "documents").select("text", "source"))
+    texts = table(spark, sf_dir, "documents").select("text", "source")
     lengths = profile.avg_token_lengths(texts, "text", "source")
     return lengths.select(*[F.round(name, 6).alias(name) for name in lengths.columns])
 
@@ -489,7 +483,8 @@ def ship_positions_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 def parquet_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "orders-by-year")
     orders = table(spark, sf_dir, "orders")
-    orders.withColumn("year", F.year("o_orderdate")).write.partitionBy("year").parquet(path)
+    dated = orders.withColumn("year", F.year("o_orderdate")).hint("rebalance", "year")
+    dated.write.partitionBy("year").parquet(path)
     counts = profile.group_counts(sources.read_parquet_years(spark, path), "year")
     return counts.select(F.col("year").cast("bigint").alias("year"), "n")
 
@@ -517,10 +512,17 @@ def snapshot_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- Streams ----------------------------------------------------------------
 
 
+def _span(spark: SparkSession, sf_dir: str) -> str:
+    """How far apart in time two events can arrive: files come in any order, so as far as the table reaches."""
+    times = table(spark, sf_dir, "events").agg(F.min("ts").alias("first"), F.max("ts").alias("last")).first()
+    days = (times["last"] - times["first"]).days if times["last"] else 0
+    return f"{days + 2} days"
+
+
 @query
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     landing = scratch_path(spark, "landing-xml")
-    _write_speed_xml(spread(table(spark, sf_dir, "events")), landing)
+    _write_speed_xml(table(spark, sf_dir, "events"), landing)
     described = stored(sites.site_characteristics(_part_sites(spark, sf_dir)), "sites")
     parsed = sources.stream_speed_xml(spark, landing)
     rows = streaming.ingest_measurements(parsed, described).drop("snapshot_time")
@@ -538,7 +540,7 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = once.unionByName(again)
     keys = ["user_id", "event_id", "ts"]
-    new = streaming.new_measurements(rows, keys, "ts", EVENT_DELAY, salts=DEDUP_SALTS)
+    new = streaming.new_measurements(rows, keys, "ts", _span(spark, sf_dir), salts=DEDUP_SALTS)
     return _run_stream(new, "stream-dedup").drop("ts")
 
 
@@ -548,7 +550,7 @@ def stream_traffic_jams(spark: SparkSession, sf_dir: str) -> DataFrame:
     flows = measurements_of_events(stream_table(spark, sf_dir, "events"))
     return _shown(
         _run_stream(
-            streaming.stream_traffic_jams(speeds, flows, EVENT_DELAY, **EVENT_JAMS), "stream-jams"
+            streaming.stream_traffic_jams(speeds, flows, _span(spark, sf_dir), **EVENT_JAMS), "stream-jams"
         )
     )
 

@@ -25,17 +25,6 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """Rows over all cores if the scan has fewer splits than there are cores.
-
-    For work that is heavy per row, on inputs of a few files only. A large
-    input has more splits than cores and is left alone, without a shuffle.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    splits = rows.rdd.getNumPartitions()
-    return rows.repartition(cores) if splits < cores else rows
-
-
 def iso_time(time: Column) -> Column:
     return F.date_format(time, ISO_TIME)
 

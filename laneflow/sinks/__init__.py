@@ -3,11 +3,10 @@ from laneflow.sinks.files import (
     measurement_lines,
     site_dictionary_lines,
     write_jam_document,
-    write_jam_records,
+    write_jam_lines,
     write_measurement_csv,
     write_rows,
     write_site_dictionary,
-    write_site_records,
     write_snapshots,
 )
 
@@ -16,10 +15,9 @@ __all__ = [
     "measurement_lines",
     "site_dictionary_lines",
     "write_jam_document",
-    "write_jam_records",
+    "write_jam_lines",
     "write_measurement_csv",
     "write_rows",
     "write_site_dictionary",
-    "write_site_records",
     "write_snapshots",
 ]

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from laneflow.functions import snapshot_name
+from laneflow.operators.jams import JAM_ORDER
 from laneflow.schemas import (
     CHARACTERISTICS,
+    JAM_FIELDS,
     MEASUREMENT_13,
     MEASUREMENT_CORE,
     MISSING,
@@ -39,66 +41,71 @@ def measurement_lines(enriched: DataFrame) -> DataFrame:
     return enriched.select(F.when(F.col("enriched"), full).otherwise(core).alias("value"))
 
 
-def write_jam_records(records: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """JSON lines, one per site record, missing values written as null."""
-    (
-        records.select("measurementSiteId", "trafficJams")
-        .write.mode(mode)
-        .option("ignoreNullFields", "false")
-        .json(path)
-    )
+def write_jam_lines(jams: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """JSON lines, one per jam, missing values written as null."""
+    jams.select(*JAM_FIELDS).write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
-def _marked_ends(
-    rows: DataFrame, order: list[str], text: Column, opening: str, closing: str
-) -> DataFrame:
-    """Sorted lines of one document: opening before the first, closing after the last.
+def _document(lines: DataFrame, order: list[str], opening: str, closing: str) -> DataFrame:
+    """Sorted lines between an opening and a closing line, which are there without any line, too."""
+    spark = lines.sparkSession
+    ends = spark.createDataFrame([(0, opening), (2, closing)], "part int, value string")
+    placed = lines.withColumn("part", F.lit(1)).unionByName(ends, allowMissingColumns=True)
+    return placed.orderBy("part", *order).select("value")
 
-    `rows` is read twice more, for its ends and for the sort ranges; store it
-    first if it is expensive to compute.
-    """
-    key = F.struct(*order)
-    ends = rows.agg(F.struct(F.min(key).alias("first"), F.max(key).alias("last"))).scalar()
-    return (
-        rows.select(
-            *order,
-            F.concat(
-                F.when(key == ends["first"], F.lit(opening)).otherwise(F.lit("")),
-                text,
-                F.when(key == ends["last"], F.lit(closing)).otherwise(F.lit(", ")),
-            ).alias("value"),
-        )
-        .orderBy(*order)
-        .select("value")
-    )
 
+def jam_document(jams: DataFrame) -> DataFrame:
+    """Lines of one JSON array with one object per site, its jams in order: `[ `, a line per jam, `]`.
 
-def jam_document(records: DataFrame) -> DataFrame:
-    """Lines of one JSON array of all site records, in order."""
-    record = F.to_json(
-        F.struct("measurementSiteId", "trafficJams"), {"ignoreNullFields": "false"}
+    Single jams are sorted by range, so a site may hold any number: its first
+    jam brings the opening of the site's object, its last one the closing.
+    Equal jams are counted first and told apart by a number. `jams` is read
+    several times; store it first if it is expensive to compute.
+    """
+    counted = jams.groupBy(*JAM_FIELDS).agg(F.count("*").alias("copies"))
+    key = F.struct(*JAM_ORDER)
+    ends = counted.groupBy(F.col("measurementSiteId").alias("site")).agg(
+        F.min(key).alias("first"), F.max(key).alias("last")
     )
-    return _marked_ends(records, ["measurementSiteId", "recordNo"], record, "[ ", "]")
+    least = counted.agg(F.min(F.struct("measurementSiteId"))).scalar()
+    rows = (
+        counted.join(ends, F.col("measurementSiteId").eqNullSafe(F.col("site")))
+        .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
+    )
+    opens = key.eqNullSafe(F.col("first")) & (F.col("copy") == 1)
+    closes = key.eqNullSafe(F.col("last")) & (F.col("copy") == F.col("copies"))
+    site = F.to_json(F.struct("measurementSiteId"), {"ignoreNullFields": "false"})
+    head = F.concat(F.substring(site, F.lit(1), F.length(site) - F.lit(1)), F.lit(',"trafficJams":['))
+    is_least = F.struct("measurementSiteId").eqNullSafe(least)
+    text = F.concat(
+        F.when(opens & is_least, head).when(opens, F.concat(F.lit(", "), head)).otherwise(F.lit(",")),
+        F.to_json(F.struct(*JAM_FIELDS), {"ignoreNullFields": "false"}),
+        F.when(closes, F.lit("]}")).otherwise(F.lit("")),
+    )
+    order = ["measurementSiteId", *JAM_ORDER, "copy"]
+    return _document(rows.select(*order, text.alias("value")), order, "[ ", "]")
 
 
-def write_jam_document(records: DataFrame, path: str, mode: str = "errorifexists") -> None:
+def write_jam_document(jams: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """The JSON array as part files that make up the document in name order."""
-    jam_document(records).write.mode(mode).text(path)
-
-
-def write_site_records(sites: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Nested site entries as JSON lines."""
-    sites.write.mode(mode).option("ignoreNullFields", "false").json(path)
+    jam_document(jams).write.mode(mode).text(path)
 
 
 def site_dictionary_lines(sites: DataFrame) -> DataFrame:
-    """Lines of one JSON object keyed by site id, one site per line between braces."""
+    """Lines of one JSON object keyed by site id, one site per line between braces.
+
+    `sites` is read twice, for its first site and for the sort.
+    """
     entry = F.to_json(
         F.create_map("measurementSiteId", F.struct(*SITE_FIELDS, CHARACTERISTICS)),
         {"ignoreNullFields": "false"},
     )
     member = F.substring(entry, F.lit(2), F.length(entry) - F.lit(2))
-    return _marked_ends(sites, ["measurementSiteId"], member, "{\n", "\n}")
+    # Every line but the last site's ends with a comma.
+    last = sites.agg(F.max("measurementSiteId")).scalar()
+    text = F.concat(member, F.when(F.col("measurementSiteId") == last, F.lit("")).otherwise(F.lit(",")))
+    lines = sites.select("measurementSiteId", text.alias("value"))
+    return _document(lines, ["measurementSiteId"], "{", "}")
 
 
 def write_site_dictionary(sites: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -109,6 +116,7 @@ def write_snapshots(rows: DataFrame, path: str, time: str, mode: str = "append")
     """One folder per snapshot, named after its time; a run adds its own snapshots."""
     (
         rows.withColumn("snapshot", snapshot_name(F.col(time)))
+        .hint("rebalance", "snapshot")  # else every task writes a file into every folder
         .write.mode(mode)
         .partitionBy("snapshot")
         .parquet(path)

@@ -8,27 +8,27 @@ from pyspark.sql import functions as F
 from laneflow.schemas import CHARACTERISTICS, SITE_DICTIONARY_SCHEMA, SITE_FIELDS
 
 
-def read_site_dictionary(
-    spark: SparkSession, path: str, one_site_per_line: bool = False
-) -> DataFrame:
+def read_site_dictionary(spark: SparkSession, path: str) -> DataFrame:
     """One row per site: the site fields and the map of its characteristics.
 
-    An indented JSON object has to be parsed whole, so each such file is one
-    task. `one_site_per_line` reads the layout of `write_site_dictionary`,
-    where every line can be parsed by itself and large files are split.
+    Takes the layout of `write_site_dictionary`, any number of files in which
+    every line can be parsed by itself, and any other JSON object, which has to
+    be parsed whole, so that each such file is one task. A line that starts
+    with a quoted key tells the first. Malformed text and a dictionary without
+    any text fail.
     """
-    if one_site_per_line:
-        entry = F.regexp_replace("value", r",\s*$", "")
-        text = (
-            spark.read.text(path)
-            .where(F.col("value").startswith('"'))
-            .select(F.concat(F.lit("{"), entry, F.lit("}")).alias("value"))
-        )
+    lines = spark.read.text(path)
+    members = lines.where(F.col("value").startswith('"'))
+    if members.isEmpty():
+        if lines.where(F.col("value").rlike(r"\S")).isEmpty():
+            raise ValueError(f"no site dictionary in {path}")
+        braces_only = lines.where(~F.col("value").rlike(r"^\s*[{}]?\s*$")).isEmpty()
+        text = spark.read.text(path, wholetext=True).where(F.lit(not braces_only))
     else:
-        text = spark.read.text(path, wholetext=True)
-    entries = text.select(
-        F.explode(F.from_json("value", SITE_DICTIONARY_SCHEMA)).alias("site_id", "site")
-    )
+        entry = F.regexp_replace("value", r",\s*$", "")
+        text = members.select(F.concat(F.lit("{"), entry, F.lit("}")).alias("value"))
+    parsed = F.from_json("value", SITE_DICTIONARY_SCHEMA, {"mode": "FAILFAST"})
+    entries = text.select(F.explode(parsed).alias("site_id", "site"))
     return entries.select(
         *[F.col(f"site.{name}").alias(name) for name in SITE_FIELDS],
         F.col(f"site.{CHARACTERISTICS}").alias(CHARACTERISTICS),

@@ -1,7 +1,8 @@
 """Traffic-speed and measurement-site XML (plain or gzip files, or text columns).
 
 Plain files are split by row element across tasks. A gzip file is read by one
-task, so parallelism comes from the number of snapshots.
+task, so parallelism comes from the number of snapshots. A malformed element
+fails the query: skipping it would lose the rest of its file unnoticed.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from laneflow.schemas import SITE_ROW_TAG, SITE_XML_SCHEMA, SPEED_ROW_TAG, SPEED_XML_SCHEMA
 
 # Attribute and element prefixes vary by publisher, so they are left out of names.
-_NAMES = {"ignoreNamespace": "true", "attributePrefix": "_", "valueTag": "_VALUE"}
+_NAMES = {"ignoreNamespace": "true", "attributePrefix": "_", "valueTag": "_VALUE", "mode": "FAILFAST"}
 
 
 def read_speed_xml(spark: SparkSession, path: str | list[str]) -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from laneflow.functions import snapshot_name
 from laneflow.operators.measurements import (
-    BROADCAST_BYTES,
     all_measurements,
     enrich,
     valid_measurements,
@@ -17,11 +16,7 @@ from laneflow.operators.measurements import (
 POLL_INTERVAL_S = 60
 
 
-def ingest_measurements(
-    sites: DataFrame,
-    characteristics: DataFrame | None = None,
-    broadcast_bytes: int | None = BROADCAST_BYTES,
-) -> DataFrame:
+def ingest_measurements(sites: DataFrame, characteristics: DataFrame | None = None) -> DataFrame:
     """Measurement rows of a stream (or batch) of parsed speed XML.
 
     `characteristics` is static and should be a stored table (see
@@ -31,7 +26,7 @@ def ingest_measurements(
     measured = valid_measurements(all_measurements(sites, "snapshot_time"))
     if characteristics is None:
         return measured
-    return enrich(measured, characteristics, broadcast_bytes)
+    return enrich(measured, characteristics)
 
 
 def new_measurements(
@@ -100,8 +95,23 @@ def start_snapshots(
     return start_parquet(named, path, checkpoint, interval_s, ["snapshot"])
 
 
+def rows_too_late(query: StreamingQuery) -> int:
+    """Rows that a query's stateful steps left out as older than its watermark."""
+    return sum(
+        operator.numRowsDroppedByWatermark
+        for progress in query.recentProgress
+        for operator in progress.stateOperators
+    )
+
+
 def run_available(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """Run a stream over everything available, then read what it wrote."""
+    """Run a stream over everything available, then read what it wrote.
+
+    A row that came too late for the watermark is an error: nothing goes missing.
+    """
     spark = stream.sparkSession
-    start_parquet(stream, path, checkpoint).awaitTermination()
+    query = start_parquet(stream, path, checkpoint)
+    query.awaitTermination()
+    if late := rows_too_late(query):
+        raise ValueError(f"{late} rows came later than the watermark allows")
     return spark.read.schema(stream.schema).parquet(path)

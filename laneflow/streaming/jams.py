@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from laneflow.operators.jams import busy_flows, pair, slow_speeds
+from laneflow.operators.jams import SALTS, busy_flows, pair, slow_speeds
 from laneflow.schemas import ANY_VEHICLE, FLOW_TYPE, SPEED_TYPE
 
-SALTS = 8
-
 
 def stream_traffic_jams(
     speed_stream: DataFrame,

@@ -46,6 +46,7 @@ def test_average_speed(run, write):
 def test_jams(run, write):
     _, text = run("traffic-jams", write({"a.csv": GOLDEN}))
     records = [json.loads(line) for line in text.splitlines()]
+    assert len(records) == 4
     assert {r["measurementSiteId"] for r in records} == {"S1", "S2", "S6"}
 
 
@@ -67,8 +68,10 @@ def test_convert_with_sites_feeds_jams(run, write, tmp_path):
     assert set(json.loads(dictionary)) == {"S1", "S2"}
     json_path = write({"s.json": json.dumps(json.loads(dictionary), indent=4)}, "json")
     speeds = write({"a.xml": SPEEDS})
+    _, as_written = run("convert", speeds, "--sitejson", str(tmp_path / "site-dictionary-out"))
+    (tmp_path / "convert-out").rename(tmp_path / "first-out")
     _, text = run("convert", speeds, "--sitejson", json_path)
-    assert "lessThan 5.60" in text
+    assert "lessThan 5.60" in text and sorted(text.splitlines()) == sorted(as_written.splitlines())
     parts, _ = run("traffic-jams", str(tmp_path / "convert-out"), "--fields", "13")
     assert parts
 

@@ -57,6 +57,18 @@ def test_most_rows_at_one_position(spark, monkeypatch):
     assert sample(spark, copies, 52, stretch_bytes=32) == [(1, "a")] + [(5, "copy")] * 10
 
 
+@pytest.mark.parametrize("stretch_bytes", [32, 1 << 20])
+def test_rows_without_position_come_last(spark, stretch_bytes):
+    texts = [(None, "none")] * 3 + [(i, "four") for i in range(20)]
+    rows = spark.createDataFrame(texts, "pos BIGINT, text STRING").repartition(3)
+    for budget, taken in ((60, 12), (100, 20), (103, 21), (1000, 23)):
+        found = sampling.byte_budget_rows(
+            rows, "pos", sampling.line_bytes(F.col("text")), budget, stretch_bytes=stretch_bytes
+        ).collect()
+        assert len(found) == taken
+        assert sum(r["pos"] is None for r in found) == max(0, taken - 20)
+
+
 def lines_of_files(contents):
     return [line for _, text in sorted(contents.items()) for line in text.split("\n")[:-1]]
 
@@ -75,12 +87,14 @@ def test_lines_of_several_split_files(spark, write, budget):
     spark.conf.set("spark.sql.files.maxPartitionBytes", "256")
     try:
         found = sampling.byte_budget_lines(spark, path, budget)
-        got = sorted(r["value"] for r in found.collect())
+        got = [(r["position"], r["value"]) for r in found.collect()]
         splits = read_positioned_lines(spark, path).select("file_path", "split_start").distinct()
         assert splits.count() > 4
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
-    assert got == sorted(lines[: prefix([len(line) + 1 for line in lines], budget)])
+    taken = lines[: prefix([len(line) + 1 for line in lines], budget)]
+    starts = [sum(len(line) + 1 for line in taken[:i]) for i in range(len(taken))]
+    assert got == list(zip(starts, taken))
 
 
 def test_only_needed_files_are_read(spark, write):

@@ -2,11 +2,12 @@ import gzip
 import json
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.testing import assertDataFrameEqual
 
 from laneflow import sinks, sources
 from laneflow.operators import measurements, sites
-from laneflow.schemas import MEASUREMENT_CORE, text_schema
+from laneflow.schemas import CHARACTERISTIC_FIELDS, CHARACTERISTICS, MEASUREMENT_CORE, SITE_FIELDS, text_schema
 
 NS = 'xmlns="http://datex2.eu/schema/2/2_0" xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance"'
 
@@ -190,11 +191,10 @@ def test_last_record_and_last_index_win(spark, write):
     ]
 
 
-@pytest.mark.parametrize("broadcast_bytes", [None, 0, 1 << 20])
-def test_enrichment(spark, write, parsed_sites, tmp_path, broadcast_bytes):
+def test_enrichment(spark, write, parsed_sites, tmp_path):
     rows = measurements.valid_measurements(all_rows(spark, write({"a.xml": SPEEDS})))
     described = sites.site_characteristics(parsed_sites)
-    enriched = measurements.enrich(rows, described, broadcast_bytes)
+    enriched = measurements.enrich(rows, described)
     lines = sorted(r["value"] for r in sinks.measurement_lines(enriched).collect())
     assert lines == [
         f"S1,1,{T},TrafficFlow,720,Site one,52.0,4.5,None,2,lane1,60,anyVehicle",
@@ -224,11 +224,51 @@ def test_dictionary_forms(spark, parsed_sites, write, tmp_path):
     assert content["S1"]["measurementSpecificCharacteristics"]["2"]["vehicleClass"] == "lessThan 5.60"
     assert content["S2"]["latitude"] is None
 
-    by_line = sources.read_site_dictionary(spark, str(path), one_site_per_line=True)
-    assert flat(by_line) == expected
+    assert flat(sources.read_site_dictionary(spark, str(path))) == expected
     whole = write({"s.json": json.dumps(content, indent=4)}, "whole")
     assert flat(sources.read_site_dictionary(spark, whole)) == expected
+    one_line = write({"s.json": json.dumps(content)}, "one-line")
+    assert flat(sources.read_site_dictionary(spark, one_line)) == expected
 
-    records = str(tmp_path / "records")
-    sinks.write_site_records(nested, records)
-    assert spark.read.schema(nested.schema).json(records).count() == 2
+
+def test_dictionary_of_many_parts_without_sites_and_malformed(spark, write, tmp_path):
+    nested = spark.range(500).select(
+        F.col("id").cast("string").alias("measurementSiteId"),
+        *[F.lit("x").alias(name) for name in SITE_FIELDS[1:]],
+        F.create_map(F.lit("1"), F.struct(*[F.lit("1").alias(name) for name in CHARACTERISTIC_FIELDS])).alias(CHARACTERISTICS),
+    )
+    many = tmp_path / "many"
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sinks.write_site_dictionary(nested, str(many))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = sorted(many.glob("part-*"))
+    assert len(parts) >= 4
+    assert len(json.loads("".join(p.read_text() for p in parts))) == 500
+    assert sources.read_site_dictionary(spark, str(many)).count() == 500
+
+    empty = tmp_path / "empty"
+    sinks.write_site_dictionary(nested.limit(0), str(empty))
+    assert json.loads("".join(p.read_text() for p in sorted(empty.glob("part-*")))) == {}
+    assert sources.read_site_dictionary(spark, str(empty)).count() == 0
+    with pytest.raises(ValueError):
+        sources.read_site_dictionary(spark, write({"s.json": " \n"}, "blank"))
+    with pytest.raises(Exception, match="MALFORMED"):
+        sources.read_site_dictionary(spark, write({"s.json": '{"a": {"latitude": '}, "bad")).collect()
+
+
+def test_malformed_element_fails(spark, write):
+    bad = SPEEDS.replace("</siteMeasurements>", "</oops>", 1)
+    assert bad != SPEEDS
+    with pytest.raises(Exception, match="MALFORMED"):
+        all_rows(spark, write({"a.xml": bad})).collect()
+
+
+def test_characteristics_without_index_hide_none(spark, write):
+    broken = record("S9", "Nine", 1, None, characteristic(1, "lane1", ANY), characteristic(2, "lane2", ANY),
+                    characteristic(3, "lane3", ANY))
+    path = write({"s.xml": site_file(broken).replace(' index="3"', "")})
+    found = sites.site_characteristics(sites.site_records(sources.read_site_xml(spark, path)))
+    assert sorted((r["index"] or "", r["specificLane"]) for r in found.collect()) == [
+        ("", "lane3"), ("1", "lane1"), ("2", "lane2")]
