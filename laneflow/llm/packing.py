@@ -3,7 +3,9 @@
 The lengths still to be placed are a multiset. A bitset whose bit s says that
 some of them add up to s is filled length by length; the highest bit is the
 best sum, and going back through the bitsets gives how often each length is
-used. The same choice is repeated for as long as the counts allow.
+used. Every window starts with the largest length left, since long pieces that
+are put off meet no short ones to go with; the bitset fills the rest of it. The
+same choice is repeated for as long as the counts allow.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-import regex
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -53,7 +55,12 @@ def pack_lengths(lengths: list[int], capacity: int) -> list[list[int]]:
     counts = {length: len(w) for length, w in waiting.items()}
     windows = []
     while counts:
-        chosen = best_window(counts, capacity)
+        largest = max(counts)
+        others = Counter(counts)
+        others[largest] -= 1
+        used = Counter(dict(best_window(+others, capacity - largest)))
+        used[largest] += 1
+        chosen = list(used.items())
         for _ in range(min(counts[length] // times for length, times in chosen)):
             windows.append([waiting[length].popleft() for length, times in chosen for _ in range(times)])
         for length, _ in chosen:
@@ -63,42 +70,49 @@ def pack_lengths(lengths: list[int], capacity: int) -> list[list[int]]:
     return windows
 
 
-def encoder(path: str, cache_size: int = 1_000_000) -> Callable[[str], np.ndarray]:
+# The byte-level pre-tokenizer's fixed pattern.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PROBE = "It's 3 o'clock:\n\n  naïve  übergroß_words %%% 1234.5 日本語 \U0001F600 <|endoftext|>\t."
+
+
+def byte_symbols() -> dict[str, int]:
+    """The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, the others
+    for the code points from 256 on, in order."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
+def encoder(path: str) -> Callable[[str], list[int]]:
     """Token ids of a text by the tokenizer file at `path`, special tokens' strings being ordinary text.
 
-    The tokenizer's own pre-tokenizer cuts the text into words; ids of words
-    seen before come from a bounded cache, as byte-pair merges stay within them.
+    Byte-level vocabularies in which a later merge has a higher id, as is usual,
+    are run by a byte-pair encoder that is several times as fast on the same
+    vocabulary, once it has given the same ids for a probe; all others by the
+    file's own tokenizer.
     """
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    if spec.get("normalizer") or spec["pre_tokenizer"] != {
-        "type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True,
-        **({"use_regex": True} if "use_regex" in spec["pre_tokenizer"] else {}),
-    }:
-        return lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
-    # The byte-level pre-tokenizer's fixed pattern.
-    words = regex.compile(
-        r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-    )
-    cache: dict[str, list[int]] = {}
 
-    def encode(text: str) -> np.ndarray:
-        ids: list[int] = []
-        if len(cache) > cache_size:
-            cache.clear()
-        for match in words.finditer(text):
-            word = match.group()
-            known = cache.get(word)
-            if known is None:
-                known = tokenizer.encode(word, add_special_tokens=False).ids
-                if len(word) <= 64:
-                    cache[word] = known
-            ids += known
-        return np.array(ids, dtype="<u4")
+    def plain(text: str) -> list[int]:
+        return tokenizer.encode(text, add_special_tokens=False).ids
 
-    return encode
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    before, vocabulary = spec.get("pre_tokenizer") or {}, spec["model"].get("vocab")
+    if (
+        spec["model"].get("type", "BPE") != "BPE" or spec.get("normalizer") or before.get("type") != "ByteLevel"
+        or before.get("add_prefix_space") or not before.get("use_regex", True)
+    ):
+        return plain
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
+    merged = [vocabulary.get(a + b, -1) for a, b in pairs]
+    symbols, special = byte_symbols(), {t["content"] for t in spec.get("added_tokens", [])}
+    if any(x >= y for x, y in zip(merged, merged[1:])):
+        return plain
+    ranks = {bytes(symbols[c] for c in token): i for token, i in vocabulary.items() if token not in special}
+    fast = tiktoken.Encoding("of-file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    return fast if fast(PROBE) == plain(PROBE) else plain
 
 
 def cut_documents(docs: DataFrame, path: str, capacity: int, id_col: str, text_col: str) -> DataFrame:
@@ -109,7 +123,7 @@ def cut_documents(docs: DataFrame, path: str, capacity: int, id_col: str, text_c
         for batch in batches:
             out: list[tuple] = []
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                ids = np.append(encode(text or ""), np.array([END_ID], dtype="<u4"))
+                ids = np.array([*encode(text or ""), END_ID], dtype="<u4")
                 for start in range(0, len(ids), capacity):
                     piece = ids[start : start + capacity]
                     out.append((doc_id, start, len(piece), zlib.crc32(piece.tobytes()), len(ids)))
@@ -125,7 +139,7 @@ def pack(
     docs: DataFrame,
     tokenizer_path: str,
     capacity: int = 2048,
-    group_pieces: int = 16_384,
+    group_pieces: int = 4096,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
