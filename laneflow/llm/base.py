@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import site
 import tempfile
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from laneflow.session import stored
 
-__all__ = ["WORD", "fresh", "held_out", "once", "running_start", "ship_code", "stored", "table", "text_bytes", "word_count"]
+__all__ = ["WORD", "fresh", "held_out", "once", "rows_per_batch", "running_start", "ship_code", "stored", "table", "text_bytes", "word_count"]
 
 # A word is a run of characters other than blank, tab, line feed, vertical tab, form feed, return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -83,6 +84,21 @@ def running_start(
     )
 
 
+@contextlib.contextmanager
+def rows_per_batch(spark, rows: int):
+    """Within it, tasks get at most that many rows at once in Python: what they hold is bounded by it.
+
+    For steps that are run, not only planned, inside.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def ship_code(spark) -> None:
     """Give the executors this package where they cannot import it from their own path or working folder."""
     root = Path(__file__).resolve().parents[2]

@@ -21,16 +21,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from laneflow.llm.base import fresh, stored
+from laneflow.llm.base import fresh, rows_per_batch, stored
 
 FIRST, FIRST_HASHES = 10, 2
 SECOND, SECOND_HASHES = 14, 3
 BINS = 256
 CELL_ROWS = 128
 CELL_SHINGLES = 2_000_000
+BATCH_ROWS = 1000
 # A pair at the threshold falls below its sketch's bound by more standard errors than this about once in 300,000.
 STANDARD_ERRORS = 4.5
 
@@ -47,14 +48,14 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 class Shingler:
-    """Sorted 64-bit hashes of the distinct shingles of a text. Word hashes are kept in a bounded table."""
+    """Sorted 64-bit hashes of the distinct shingles of a text in UTF-8. Word hashes are kept in a bounded table."""
 
-    def __init__(self, words: int, table_size: int = 1_000_000):
+    def __init__(self, words: int, table_size: int = 100_000):
         self.words, self.table_size, self.known = words, table_size, {}
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        # Bytes: lower() changes A-Z alone and split() takes exactly the six blanks of ASCII.
-        words = (text or "").encode("utf-8", "replace").lower().split()
+    def __call__(self, text: bytes | None) -> np.ndarray:
+        # Of bytes, lower() changes A-Z alone and split() takes exactly the six blanks of ASCII.
+        words = (text or b"").lower().split()
         if not words:
             return np.empty(0, dtype=np.uint64)
         known = self.known
@@ -131,7 +132,7 @@ def described(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFr
             frame["doc_id"] = frame["doc_id"].astype("Int64")
             yield frame
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     return rows.mapInPandas(
         describe, "doc_id long, n_shingles long, digest binary, tuples array<long>, sketch binary"
     )
@@ -154,7 +155,7 @@ def table_keys(nodes: DataFrame) -> DataFrame:
         "table-keys",
     )
     groups = keys.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1")
-    return stored(keys.join(groups.select("key", "least", "n"), "key"), "tables")
+    return stored(keys.join(groups.select("key", "least"), "key"), "tables")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -256,6 +257,30 @@ def edges_of(cells: DataFrame, compare) -> DataFrame:
     return cells.repartition("cell").sortWithinPartitions("cell").mapInPandas(walk, EDGES)
 
 
+def with_outside(rows: DataFrame, group: str) -> DataFrame:
+    """`rows` with the `cell`s in which those `outside` meet all rows of their group.
+
+    The group's rows stand in `blocks` blocks and those outside also in parts,
+    all of bounded size; every part meets every block. Rows inside are copied
+    once for each part, rows outside once for each block, so what is connected
+    already costs one row each.
+    """
+    parts = rows.groupBy(F.col(group).alias("_group")).agg(
+        F.ceil(F.count_if("outside") / F.lit(CELL_ROWS)).cast("int").alias("parts")
+    )
+    held = rows.join(parts, F.col(group) == F.col("_group")).where("parts > 0")
+    block = F.pmod(F.xxhash64(F.lit("block"), "node"), F.col("blocks")).cast("int")
+    part = F.pmod(F.xxhash64(F.lit("part"), "node"), F.col("parts")).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
+    cell = lambda block_, part_: F.xxhash64(F.lit("cell"), group, block_, part_)
+    at_home = held.withColumn("_part", every("parts")).withColumn("cell", cell(block, F.col("_part")))
+    abroad = (
+        held.where("outside").withColumn("_block", every("blocks")).where(F.col("_block") != block)
+        .withColumn("cell", cell(F.col("_block"), part))
+    )
+    return at_home.drop("_part").unionByName(abroad.drop("_block"))
+
+
 def likely_edges(threshold: float):
     """Compares sketches in a cell: an edge for each likely pair that joins two components."""
 
@@ -304,8 +329,8 @@ def likely_groups(nodes: DataFrame, tables: DataFrame, threshold: float) -> Data
     """(node, label): components over all pairs that meet in a table and have likely sketches.
 
     First each node is held against the least node of each of its tables. Only
-    tables whose nodes are still in several components go on, in cells: a
-    table's nodes in blocks of bounded size, every block with every block.
+    tables whose nodes are still in several components go on, in cells: those
+    outside the table's largest component are held against all of its nodes.
     """
     marks = nodes.select("node", F.col("n_shingles").alias("n"), "sketch")
 
@@ -324,19 +349,18 @@ def likely_groups(nodes: DataFrame, tables: DataFrame, threshold: float) -> Data
     star_edges = stored(pairs.select("a", "b", "sketch_a", "sketch_b").mapInPandas(check, EDGES), "star-edges")
     labels = components(star_edges)
 
-    rows = labelled(tables.select("node", "key", "n"), labels).withColumnRenamed("n", "in_table")
+    rows = labelled(tables.select("node", "key"), labels)
+    by_comp = rows.groupBy("key", "comp").count()
     open_ = (
-        rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
-    )
-    # A table of n nodes has n / CELL_ROWS blocks; each row goes to the cells of its block with every other.
-    blocks = F.ceil(F.col("in_table") / F.lit(CELL_ROWS)).cast("int")
-    block = F.pmod(F.xxhash64(F.lit("block"), "node"), blocks).cast("int")
-    cells = (
-        rows.join(open_, "key").withColumn("block", block)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .withColumn("cell", F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")))
-        .select("cell", "node", "comp").join(marks, "node")
+        by_comp.groupBy("key")
+        .agg(
+            F.ceil(F.sum("count") / F.lit(CELL_ROWS)).alias("blocks"), F.count("*").alias("comps"),
+            F.max_by("comp", F.struct("count", "comp")).alias("main"),
+        )
+        .where("comps > 1").select("key", "blocks", "main")
     )
+    apart = rows.join(open_, "key").withColumn("outside", F.col("comp") != F.col("main"))
+    cells = with_outside(apart, "key").select("cell", "node", "comp").join(marks, "node")
     more = edges_of(cells, likely_edges(threshold))
     return components(star_edges.unionByName(more))
 
@@ -353,7 +377,7 @@ def with_sets(docs: DataFrame, members: DataFrame, words: int, id_col: str, text
             out["shingles"] = [s.tobytes() for s in sets]
             yield out[same]
 
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("binary").alias("text"))
     joined = texts.join(members, "node")
     extra = [f"{f.name} {f.dataType.simpleString()}" for f in joined.schema if f.name not in ("text", "digest")]
     return joined.mapInPandas(shingles, ", ".join([*extra, "shingles binary"]))
@@ -390,26 +414,12 @@ def linked(members: DataFrame, percent: int) -> DataFrame:
     main = (
         held.groupBy("group", "comp").count().groupBy("group").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
     )
-    held = held.join(main, "group").withColumn("outside", F.col("comp") != F.col("main"))
-    parts = held.groupBy("group").agg(
-        F.greatest(F.ceil(F.sum(F.col("outside").cast("int")) / F.lit(CELL_ROWS)), F.lit(0)).alias("parts")
+    held = (
+        held.join(main, "group").withColumn("outside", F.col("comp") != F.col("main"))
+        .join(large.select("node", "shingles"), "node")
     )
-    held = held.join(parts, "group").where("parts > 0").join(large.select("node", "shingles"), "node")
-    part = F.pmod(F.xxhash64(F.lit("part"), "node"), F.col("parts")).cast("int")
-
-    def meet(frame: DataFrame, block_: Column, part_: Column) -> DataFrame:
-        return frame.withColumn("cell", F.xxhash64(F.lit("third"), "group", block_, part_)).select(*take)
-
-    # As a row of its block each meets all parts; as one from outside, all blocks.
-    inside = meet(
-        held.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1))), block("third"), F.col("p")
-    )
-    outside = meet(
-        held.where("outside").withColumn("q", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
-        .where(F.col("q") != block("third")),
-        F.col("q"), part,
-    )
-    return components(edges.unionByName(edges_of(inside.unionByName(outside), compare)))
+    third = with_outside(held, "group").select(*take)
+    return components(edges.unionByName(edges_of(third, compare)))
 
 
 def near_duplicates(
@@ -431,21 +441,22 @@ def near_duplicates(
     Equal sets are one node, found by a map-side aggregate, so a third of all
     rows being copies of one text costs no shuffle of them.
     """
-    rows = stored(described(docs, words, id_col, text_col), "described")
-    threshold = percent / 100
-    nodes = stored(
-        rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(
-            F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"),
-            F.first("tuples").alias("tuples"), F.first("sketch").alias("sketch"),
-        ),
-        "nodes",
-    )
-    groups = likely_groups(nodes, table_keys(nodes), threshold)
-    members = nodes.select("node", "digest", F.col("n_shingles").alias("n")).join(
-        groups.select("node", F.col("label").alias("group")), "node"
-    )
-    labels = linked(with_sets(docs, members, words, id_col, text_col), percent)
-    classes = labelled(nodes.select("digest", "node"), labels).select("digest", "comp")
+    with rows_per_batch(docs.sparkSession, BATCH_ROWS):
+        rows = stored(described(docs, words, id_col, text_col), "described")
+        threshold = percent / 100
+        nodes = stored(
+            rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(
+                F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"),
+                F.first("tuples").alias("tuples"), F.first("sketch").alias("sketch"),
+            ),
+            "nodes",
+        )
+        groups = likely_groups(nodes, table_keys(nodes), threshold)
+        members = nodes.select("node", "digest", F.col("n_shingles").alias("n")).join(
+            groups.select("node", F.col("label").alias("group")), "node"
+        )
+        labels = linked(with_sets(docs, members, words, id_col, text_col), percent)
+        classes = labelled(nodes.select("digest", "node"), labels).select("digest", "comp")
     return (
         rows.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
         .withColumn("component_id", F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("comp", "doc_id")))
