@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from laneflow.llm.base import stored
+from laneflow.llm.base import hash_sample, stored
 
 SUBSTRING = 16
 FOUND = "query_id long, vec_id long, score double"
@@ -131,12 +131,12 @@ def valid(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def learn(
-    rows: DataFrame, size: int, recall: float = 0.98, sample: int = 4096, probes: int = 64, words: int = 2,
-    k: int = 5, block: int = 32_768,
+    rows: DataFrame, total: int, size: int, recall: float = 0.98, sample: int = 4096, probes: int = 64, words: int = 2,
+    k: int = 5,
 ) -> Codes:
     """Rotations from `sample` vectors, and the radius within which `probes` of them find `recall` of their true
     nearest neighbours among all rows, measured by brute force in one pass over the blocks."""
-    drawn = rows.orderBy(F.xxhash64(F.lit("rotation"), "vec_id"), "vec_id").limit(sample).toPandas()
+    drawn = hash_sample(rows, total, sample, "vec_id").toPandas()
     vectors = matrix(drawn["vector"])
     turns = -(-64 * words // max(size, 1))
     rotations = np.array([learn_rotation(unit(vectors), seed) for seed in range(turns)])
@@ -199,7 +199,7 @@ def search(
     if not total:
         empty = rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
         return empty
-    codes = learn(rows, size, recall, k=k)
+    codes = learn(rows, total, size, recall, k=k)
     shared = rows.sparkSession.sparkContext.broadcast(codes)  # a few rotations
     asked = rows.where(F.pmod("vec_id", F.lit(queries_every)) == 0)
     blocks = max(1, -(-total // min(index_block[1], max(index_block[0], total // 64))))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import math
 import os
 import site
 import tempfile
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from laneflow.session import stored
 
-__all__ = ["WORD", "fresh", "held_out", "once", "rows_per_batch", "running_start", "ship_code", "stored", "table", "text_bytes", "word_count"]
+__all__ = ["WORD", "fresh", "hash_sample", "held_out", "once", "rows_per_batch", "running_start", "ship_code", "stored", "table", "text_bytes", "word_count"]
 
 # A word is a run of characters other than blank, tab, line feed, vertical tab, form feed, return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -84,6 +85,18 @@ def running_start(
     )
 
 
+def hash_sample(rows: DataFrame, count: int, size: int, *by: str) -> DataFrame:
+    """About `size` of the `count` rows, never more, chosen by a hash of the columns `by`: the same at every run.
+
+    Rows are thinned out by the hash where they lie, so the sort that cuts the
+    rest to size gets few more rows than it gives, whatever the table's size.
+    """
+    draw = F.xxhash64(F.lit("sample"), *by)
+    part = F.pmod(draw, F.lit(1 << 40)) / F.lit(float(1 << 40))
+    chance = min(1.0, (size + 4 * math.sqrt(size) + 16) / max(count, 1))
+    return rows.where(part < chance).orderBy(draw, *by).limit(size)
+
+
 @contextlib.contextmanager
 def rows_per_batch(spark, rows: int):
     """Within it, tasks get at most that many rows at once in Python: what they hold is bounded by it.
