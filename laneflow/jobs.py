@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from laneflow import sinks, sources, streaming
-from laneflow.operators import identity, jams, measurements, quality, sampling, sites, words
+from laneflow.operators import identity, jams, measurements, quality, roads, sampling, sites, words
 from laneflow.session import build_session, stored
 
 # Text lines in, rows out.
@@ -48,7 +48,10 @@ def run_line_job(
 
 def traffic_jams(spark: SparkSession, options: argparse.Namespace) -> None:
     """Jams as JSON lines, or per site in one JSON array with `--document`."""
-    rows = sources.read_measurements(spark, options.input, options.fields, options.header)
+    if options.format == "parquet":
+        rows = spark.read.parquet(options.input)
+    else:
+        rows = sources.read_measurements(spark, options.input, options.fields, options.header)
     found = jams.traffic_jams(
         rows,
         speed_low_excl=options.speed_low,
@@ -65,14 +68,21 @@ def traffic_jams(spark: SparkSession, options: argparse.Namespace) -> None:
 def _site_characteristics(spark: SparkSession, options: argparse.Namespace) -> DataFrame | None:
     if options.sitejson:
         return sites.dictionary_characteristics(
-            sources.read_site_dictionary(spark, options.sitejson)
+            _with_limits(spark, sources.read_site_dictionary(spark, options.sitejson), options)
         )
     if options.sitexml:
         records = sites.site_records(sources.read_site_xml(spark, options.sitexml))
-        return sites.site_characteristics(records)
+        return sites.site_characteristics(_with_limits(spark, records, options))
     return None
 
 
+def _with_limits(spark: SparkSession, records: DataFrame, options: argparse.Namespace) -> DataFrame:
+    """Sites with the speed limit of their road, if road points are given."""
+    if not options.roads:
+        return records
+    return roads.speed_limits(records, spark.read.parquet(options.roads))
+
+
 def convert(spark: SparkSession, options: argparse.Namespace) -> None:
     """Speed XML to measurement CSV lines, enriched if site data is given."""
     measured = measurements.all_measurements(sources.read_speed_xml(spark, options.input))
@@ -90,6 +100,7 @@ def convert(spark: SparkSession, options: argparse.Namespace) -> None:
 def site_dictionary(spark: SparkSession, options: argparse.Namespace) -> None:
     """Site XML to a JSON object keyed by site id."""
     records = sites.site_records(sources.read_site_xml(spark, options.input))
+    records = _with_limits(spark, records, options)
     nested = stored(sites.site_dictionary(records), "site-records")
     sinks.write_site_dictionary(nested, options.output)
     print(sites.site_summary(nested).first().asDict())
@@ -108,9 +119,14 @@ def ingest(spark: SparkSession, options: argparse.Namespace) -> None:
         described = stored(described, "sites")
     parsed = sources.stream_speed_xml(spark, options.input)
     rows = streaming.ingest_measurements(parsed, described)
+    if options.repeats_within:
+        rows = streaming.without_repeats(rows, options.repeats_within)
     checkpoint = options.checkpoint or f"{options.output.rstrip('/')}-checkpoint"
     interval = None if options.once else options.interval
-    streaming.start_snapshots(rows, options.output, checkpoint, interval).awaitTermination()
+    query = streaming.start_snapshots(rows, options.output, checkpoint, interval, options.format or "parquet")
+    query.awaitTermination()
+    print({"written": sum(p.sink.numOutputRows for p in query.recentProgress if p.sink.numOutputRows > 0),
+           "too_late": streaming.rows_too_late(query)})
 
 
 JOBS = {
@@ -135,12 +151,15 @@ def arguments() -> argparse.ArgumentParser:
     jam.add_argument("--min-flow", type=float, default=10.0)
     jam.add_argument("--max-period", type=float)
     jam.add_argument("--document", action="store_true")
-    site = parser.add_argument_group("convert, ingest")
+    parser.add_argument("--format", choices=["csv", "parquet"], help="of measurements: traffic-jams csv, ingest parquet")
+    site = parser.add_argument_group("convert, ingest, site-dictionary")
+    site.add_argument("--roads", help="Parquet table of road points")
     site.add_argument("--sitexml")
     site.add_argument("--sitejson")
     stream = parser.add_argument_group("ingest")
     stream.add_argument("--interval", type=int, default=streaming.POLL_INTERVAL_S)
     stream.add_argument("--once", action="store_true")
+    stream.add_argument("--repeats-within", help="leave out measurements repeated within this time, as in '1 hour'")
     stream.add_argument("--checkpoint")
     parser.add_argument("--bytes", type=int, default=sampling.SAMPLE_BYTES, help="sample")
     return parser

@@ -34,11 +34,13 @@ def write_measurement_csv(
     measurements.write.mode(mode).options(**_CSV).csv(path)
 
 
-def measurement_lines(enriched: DataFrame) -> DataFrame:
-    """CSV lines of 13 fields for enriched rows and of 5 fields for the others."""
+def measurement_lines(enriched: DataFrame, *keep: str) -> DataFrame:
+    """CSV lines of 13 fields for enriched rows and of 5 fields for the others, with the columns to keep."""
+    if "enriched" not in enriched.columns:
+        return enriched.select(F.to_csv(F.struct(*MEASUREMENT_CORE), _CSV).alias("value"), *keep)
     full = F.to_csv(F.struct(*MEASUREMENT_13), _CSV)
     core = F.to_csv(F.struct(*MEASUREMENT_CORE), _CSV)
-    return enriched.select(F.when(F.col("enriched"), full).otherwise(core).alias("value"))
+    return enriched.select(F.when(F.col("enriched"), full).otherwise(core).alias("value"), *keep)
 
 
 def write_jam_lines(jams: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -2,9 +2,11 @@ from laneflow.streaming.ingest import (
     POLL_INTERVAL_S,
     ingest_measurements,
     new_measurements,
+    rows_too_late,
     run_available,
     start_parquet,
     start_snapshots,
+    without_repeats,
 )
 from laneflow.streaming.jams import stream_traffic_jams
 
@@ -12,8 +14,10 @@ __all__ = [
     "POLL_INTERVAL_S",
     "ingest_measurements",
     "new_measurements",
+    "rows_too_late",
     "run_available",
     "start_parquet",
     "start_snapshots",
     "stream_traffic_jams",
+    "without_repeats",
 ]

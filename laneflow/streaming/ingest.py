@@ -7,11 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from laneflow.functions import snapshot_name
-from laneflow.operators.measurements import (
-    all_measurements,
-    enrich,
-    valid_measurements,
-)
+from laneflow.operators.measurements import all_measurements, enrich, valid_measurements
+from laneflow.sinks import measurement_lines
 
 POLL_INTERVAL_S = 60
 
@@ -29,6 +26,13 @@ def ingest_measurements(sites: DataFrame, characteristics: DataFrame | None = No
     return enrich(measured, characteristics)
 
 
+def without_repeats(rows: DataFrame, delay: str, salts: int = 1) -> DataFrame:
+    """Measurements without those that a later snapshot repeats for the same site, index and time."""
+    timed = rows.withColumn("_measured", F.to_timestamp("measurementTime"))
+    keys = ["measurementSiteId", "measurementIndex", "measurementTime"]
+    return new_measurements(timed, keys, "_measured", delay, salts).drop("_measured")
+
+
 def new_measurements(
     stream: DataFrame,
     keys: list[str],
@@ -64,13 +68,14 @@ def start_parquet(
     checkpoint: str,
     interval_s: int | None = None,
     partition_by: list[str] | None = None,
+    file_format: str = "parquet",
 ) -> StreamingQuery:
-    """Start writing a stream to Parquet files, each row exactly once.
+    """Start writing a stream to files, each row exactly once.
 
     Without an interval the query takes what is there, then stops.
     """
     writer = (
-        stream.writeStream.format("parquet")
+        stream.writeStream.format(file_format)
         .outputMode("append")
         .option("path", path)
         .option("checkpointLocation", checkpoint)
@@ -89,10 +94,16 @@ def start_snapshots(
     path: str,
     checkpoint: str,
     interval_s: int | None = POLL_INTERVAL_S,
+    file_format: str = "parquet",
 ) -> StreamingQuery:
-    """Start writing measurements to one folder per snapshot."""
+    """Start writing measurements to one folder per snapshot.
+
+    As `csv` they are lines of 13 fields where site data matched, else of 5.
+    """
     named = measurements.withColumn("snapshot", snapshot_name(F.col("snapshot_time")))
-    return start_parquet(named, path, checkpoint, interval_s, ["snapshot"])
+    if file_format == "csv":
+        named, file_format = measurement_lines(named, "snapshot"), "text"
+    return start_parquet(named, path, checkpoint, interval_s, ["snapshot"], file_format)
 
 
 def rows_too_late(query: StreamingQuery) -> int:

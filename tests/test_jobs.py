@@ -86,3 +86,32 @@ def test_ingest(run, write, spark, tmp_path):
     run("ingest", write({"a.xml": SPEEDS}), "--sitexml", site_path, "--once")
     rows = spark.read.parquet(str(tmp_path / "ingest-out"))
     assert rows.count() == 3 and "snapshot" in rows.columns
+
+
+@pytest.mark.parametrize("kind", ["csv", "parquet"])
+def test_ingested_snapshots_feed_jams_with_speed_limits(run, write, spark, tmp_path, kind):
+    """XML snapshots, one of them twice, through ingest to jams; the limit comes from road points."""
+    site_path = write({"s.xml": site_file(S1, S2)}, "sites")
+    points = str(tmp_path / "roads")
+    spark.createDataFrame(
+        [("w1", "80", "primary", 52.0, 4.5)], "way_id string, maxspeed string, highway string, latitude double, longitude double"
+    ).write.parquet(points)
+    landing = write({"a.xml": SPEEDS, "again.xml": SPEEDS}, "landing")
+    run("ingest", landing, "--sitexml", site_path, "--roads", points, "--once", "--format", kind,
+        "--repeats-within", "1 hour")
+    out = str(tmp_path / "ingest-out")
+    if kind == "csv":
+        lines = [r["value"] for r in spark.read.text(out).collect()]
+    else:
+        lines = [",".join(str(r[c]) for c in r.asDict() if c not in ("enriched", "snapshot", "snapshot_time"))
+                 for r in spark.read.parquet(out).collect()]
+    assert len(lines) == 3
+    assert sum("52.0,4.5,80,2,lane1" in line for line in lines) == 2
+    parts, _ = run("traffic-jams", out, "--fields", "13", "--format", kind, "--min-flow", "0")
+    assert parts
+
+
+def test_wrong_layout_fails(run, write):
+    thirteen = ",".join(["S1", "1", "t", "TrafficSpeed", "33", "n", "52", "4", "80", "2", "lane1", "60", "anyVehicle"])
+    with pytest.raises(Exception, match="fields"):
+        run("traffic-jams", write({"a.csv": thirteen + "\n"}))
