@@ -240,6 +240,7 @@ FROM measured""",
     "site_table": "WITH " + _SITES + " SELECT * EXCLUDE (price) FROM site",
     "site_characteristics": _CHARACTERISTICS,
     "site_dictionary_file": _CHARACTERISTICS,
+    "site_xml_files": _CHARACTERISTICS,
     "site_summary": "WITH "
     + _SITES
     + """ SELECT count(*) AS total, count(latitude) AS with_location,
@@ -286,16 +287,27 @@ FROM documents""",
     "group_counts": "SELECT source, lang, count(*) AS n FROM documents GROUP BY source, lang",
     "web_pages_json": "SELECT url, length(html) AS text_length FROM pages",
     "articles_json": """
-SELECT source AS category, 2010 + n_chars % 7 AS year, count(*) AS n
-FROM documents GROUP BY 1, 2""",
+SELECT source AS category, doc_id % 28 + 1 AS day, 'full_html ' || doc_id AS full_html, 'href ' || doc_id AS href,
+       doc_id % 12 + 1 AS month, text, 'time ' || doc_id AS time, 'timeofday ' || doc_id AS timeofday,
+       'title ' || doc_id AS title, 2010 + n_chars % 7 AS year
+FROM documents""",
     "tweets_json": """
 SELECT conv_id AS user_id, role AS screen_name, turn AS retweet_count,
        length(text) AS retweeted_length
 FROM conversations""",
     "ship_positions_json": """
-SELECT user_id AS mmsi, event_type AS shipname, value AS lat,
-       CAST(floor(epoch(ts)) AS BIGINT) AS ts
+SELECT 'callsign ' || event_id % 7 AS callsign, event_id + 1 AS cog, 'destination ' || event_id % 7 AS destination,
+       event_id + 3 AS dimbow, event_id + 4 AS dimport, event_id + 5 AS dimstarboard, event_id + 6 AS dimstern,
+       event_id + 7 AS draught, event_id + 8 AS eta_day, event_id + 9 AS eta_hour, event_id + 10 AS eta_minute,
+       event_id + 11 AS eta_month, event_id + 12 AS heading, event_id + 13 AS imo, value + 14::DOUBLE AS lat,
+       'lat2 ' || event_id % 7 AS lat2, value + 16::DOUBLE AS lon, 'lon2 ' || event_id % 7 AS lon2,
+       event_id + 18 AS mmsi, event_id + 19 AS nav_status, value + 20::DOUBLE AS rot_angle,
+       'rot_direction ' || event_id % 7 AS rot_direction, 'shipname ' || event_id % 7 AS shipname,
+       event_id + 23 AS shiptype, event_id + 24 AS sog, event_id + 25 AS "timestamp", event_id + 26 AS ts,
+       event_id + 27 AS "type"
 FROM events""",
+    "parquet_two_years": """
+SELECT o_orderkey, year(o_orderdate) AS year FROM orders WHERE year(o_orderdate) IN (1995, 1996)""",
     "parquet_years": """
 SELECT year(o_orderdate) AS year, count(*) AS n FROM orders GROUP BY 1""",
     "snapshot_files": """

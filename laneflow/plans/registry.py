@@ -35,7 +35,14 @@ from laneflow.plans.tables import (
     stream_table,
     table,
 )
-from laneflow.schemas import JAM_FIELDS, MEASUREMENT_12, SPEED_ROW_TAG
+from laneflow.schemas import (
+    ARTICLE_SCHEMA,
+    JAM_FIELDS,
+    MEASUREMENT_12,
+    SHIP_POSITION_SCHEMA,
+    SITE_ROW_TAG,
+    SPEED_ROW_TAG,
+)
 from laneflow.session import scratch_path, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -290,11 +297,16 @@ def speed_xml_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _write_speed_xml(events: DataFrame, path: str, **options: str) -> None:
+    _write_xml(speed_elements_of_events(events), SPEED_ROW_TAG, path, **options)
+
+
+def _write_xml(elements: DataFrame, row_tag: str, path: str, **options: str) -> None:
     (
-        speed_elements_of_events(events)
-        .write.format("xml")
-        .option("rowTag", SPEED_ROW_TAG)
+        elements.write.format("xml")
+        .option("rowTag", row_tag)
         .option("rootTag", "payload")
+        .option("attributePrefix", "_")
+        .option("valueTag", "_VALUE")
         .option("validateName", "false")
         .option("maxRecordsPerFile", ROWS_PER_XML_FILE)
         .options(**options)
@@ -317,6 +329,15 @@ def site_characteristics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sites.site_characteristics(_part_sites(spark, sf_dir))
 
 
+@query
+def site_xml_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Site characteristics out of site XML files."""
+    path = scratch_path(spark, "site-xml")
+    records = sources.parse_site_xml(site_xml_of_parts(table(spark, sf_dir, "part")), "xml")
+    _write_xml(records, SITE_ROW_TAG, path)
+    return sites.site_characteristics(sites.site_records(sources.read_site_xml(spark, path)))
+
+
 @query
 def site_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sites.site_summary(_part_sites(spark, sf_dir))
@@ -434,14 +455,18 @@ def web_pages_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def articles_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every field of the articles, derived from the documents."""
     path = scratch_path(spark, "articles")
+    number = {"day": F.col("doc_id") % 28 + 1, "month": F.col("doc_id") % 12 + 1, "year": F.lit(2010) + F.col("n_chars") % 7}
+    own = {"category": F.col("source"), "text": F.col("text"), **number}
     table(spark, sf_dir, "documents").select(
-        F.col("source").alias("category"),
-        "text",
-        F.concat(F.lit("Article "), F.col("doc_id")).alias("title"),
-        (F.lit(2010) + F.col("n_chars") % 7).alias("year"),
+        *[own.get(n, F.concat(F.lit(f"{n} "), F.col("doc_id"))).alias(n) for n in _names(ARTICLE_SCHEMA)]
     ).write.json(path)
-    return profile.group_counts(sources.read_articles(spark, path), "category", "year")
+    return sources.read_articles(spark, path)
+
+
+def _names(schema: str) -> list[str]:
+    return [field.split()[0] for field in schema.split(", ")]
 
 
 @query
@@ -469,14 +494,18 @@ def tweets_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def ship_positions_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every field of the ship positions, derived from the events."""
     path = scratch_path(spark, "ship-positions")
+    kinds = dict(field.split() for field in SHIP_POSITION_SCHEMA.split(", "))
+    of_kind = {
+        "BIGINT": lambda name, i: F.col("event_id") + F.lit(i),
+        "DOUBLE": lambda name, i: F.col("value") + F.lit(float(i)),
+        "STRING": lambda name, i: F.concat(F.lit(f"{name} "), F.col("event_id") % 7),
+    }
     table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("mmsi"),
-        F.col("event_type").alias("shipname"),
-        F.col("value").alias("lat"),
-        F.unix_timestamp("ts").alias("ts"),
+        *[of_kind[kind](name, i).alias(name) for i, (name, kind) in enumerate(kinds.items())]
     ).write.json(path)
-    return sources.read_ship_positions(spark, path).select("mmsi", "shipname", "lat", "ts")
+    return sources.read_ship_positions(spark, path)
 
 
 @query
@@ -489,6 +518,16 @@ def parquet_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select(F.col("year").cast("bigint").alias("year"), "n")
 
 
+@query
+def parquet_two_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two of the folders; the others are not opened."""
+    path = scratch_path(spark, "orders-by-year")
+    orders = table(spark, sf_dir, "orders").withColumn("year", F.year("o_orderdate")).hint("rebalance", "year")
+    orders.write.partitionBy("year").parquet(path)
+    rows = sources.read_parquet_years(spark, path, years=[1995, 1996])
+    return rows.select("o_orderkey", F.col("year").cast("bigint").alias("year"))
+
+
 @query
 def snapshot_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows per snapshot folder, one folder per day of events."""
