@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cache
 from typing import NamedTuple
 
 import numpy as np
@@ -21,19 +22,17 @@ from laneflow.llm.base import held_out
 
 UNKNOWN = "und"
 _GAP = np.uint64(0x20)
-_WORDS: dict[str, np.ndarray] = {}
 
 
+@cache
 def _letter_table() -> np.ndarray:
     """For each code point, its lower-case code point if it is a letter, else the gap."""
-    if "letters" not in _WORDS:
-        table = np.full(0x110000, int(_GAP), dtype=np.uint32)
-        for c in range(0x110000):
-            if not 0xD800 <= c <= 0xDFFF and chr(c).isalpha():
-                low = chr(c).lower()
-                table[c] = ord(low) if len(low) == 1 else c
-        _WORDS["letters"] = table
-    return _WORDS["letters"]
+    table = np.full(0x110000, int(_GAP), dtype=np.uint32)
+    for c in range(0x110000):
+        if not 0xD800 <= c <= 0xDFFF and chr(c).isalpha():
+            low = chr(c).lower()
+            table[c] = ord(low) if len(low) == 1 else c
+    return table
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -111,9 +110,7 @@ def count_hits(filters: Filters, grams: np.ndarray) -> np.ndarray:
 def decide(filters: Filters, text: str | None) -> tuple[str, float]:
     """The language with most corrected hits, the earlier name on ties, and its lead over the runner-up."""
     grams = ngram_hashes(text, filters.sizes) if text else np.empty(0, dtype=np.uint64)
-    if not len(grams):
-        return UNKNOWN, 0.0
-    if not filters.languages:
+    if not len(grams) or not filters.languages:
         return UNKNOWN, 0.0
     hits = count_hits(filters, grams)
     best = int(np.argmax(hits))

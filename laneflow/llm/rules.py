@@ -213,6 +213,6 @@ def judge(
         for c in cutoffs
     ]
     failed = F.filter(F.array(*fails), lambda r: r.isNotNull()) if fails else F.array().cast("array<string>")
-    return measured.withColumn("failed_rules", F.when(F.col("n_words") > 0, failed).otherwise(F.array().cast("array<string>"))).withColumn(
+    return measured.withColumn("failed_rules", failed).withColumn(
         "kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)
     )

@@ -40,9 +40,9 @@ def changed(draw, text, share):
     return " ".join(words)
 
 
-def corpus(words):
+def corpus():
     """Prose, exact copies, near copies of every degree, a passage that many share, and edge cases."""
-    draw, w = random.Random(11), words(11)
+    draw = random.Random(11)
     fresh = lambda n: " ".join("v%d" % draw.randrange(10**5) for _ in range(n))
     rows = [(i, fresh(draw.randint(1, 120))) for i in range(120)]
     template = fresh(150)
@@ -53,14 +53,13 @@ def corpus(words):
     rows += [(3000 + i, fresh(draw.randint(5, 60)) + " " + passage + " " + fresh(draw.randint(5, 60))) for i in range(60)]
     rows += [(4000, None), (4001, ""), (4002, " \t\n"), (4003, "one"), (4004, "One"), (4005, "one two three"),
              (4006, "ONE two three"), (4007, "É é"), (4008, "é É"), (4009, "a\xa0b"), (4010, "x y " * 30_000)]
-    del w
     return rows
 
 
 @pytest.mark.parametrize("k,cell", [(4, 128), (5, 24)])
-def test_components_equal_brute_force(documents, words, monkeypatch, k, cell):
+def test_components_equal_brute_force(documents, monkeypatch, k, cell):
     monkeypatch.setattr(neardup, "CELL_ROWS", cell)  # small cells take the rounds for large groups
-    rows = corpus(words)
+    rows = corpus()
     docs = documents(rows + [rows[5]], extra=("digest", "node", "comp", "n_shingles"))
     found = neardup.near_duplicates(docs, words=k).collect()
     assert len(found) == len(rows) + 1
