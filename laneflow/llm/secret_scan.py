@@ -14,7 +14,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from laneflow.llm.base import fresh, once
+from laneflow.llm.base import fresh, hash_sample, once
 
 # Fixed patterns. Each is (regular expression, replacement with frames, least length of the value).
 KINDS: dict[str, tuple[str, str, int]] = {
@@ -112,16 +112,13 @@ def random_strings(spark, count: int) -> DataFrame:
 def identifiers(docs: DataFrame, documents: int, longest: int, id_col: str, text_col: str) -> DataFrame:
     """Labelled identifiers: words of the corpus, alone and joined to names in the usual ways.
 
-    From `documents` documents of at most `longest` characters, chosen by a hash
-    of the text; words inside base secrets are left out.
+    From `documents` documents of at most `longest` bytes, chosen by a hash of
+    id and text; words inside base secrets are left out.
     """
-    sample = (
-        docs.select(F.col(text_col).alias("text"))
-        .where(F.length("text").between(1, longest))
-        .orderBy(F.xxhash64(F.lit("identifiers"), "text")).limit(documents)
-        .select("text")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(
+        F.octet_length("text").between(1, longest)
     )
-    clean = sample
+    clean = hash_sample(rows, rows.count(), documents, "id", "text").select("text")
     for pattern, _, _ in KINDS.values():
         clean = clean.withColumn("text", F.regexp_replace("text", pattern, " "))
     # Words of letters; what mixes digits and letters may be an unlabelled secret.
