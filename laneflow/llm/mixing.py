@@ -14,7 +14,7 @@ import heapq
 from fractions import Fraction
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from laneflow.llm.base import fresh, running_start, stored, word_count
@@ -116,9 +116,26 @@ def mix(
 
     One row per source reaches the driver; documents and blocks do not.
     """
+    return _mix_rows(docs, F.lit(None).cast("long"), weights, cap, shards, fineness, seed, id_col, text_col, source_col).drop("_row")
+
+
+def _mix_rows(
+    docs: DataFrame,
+    row: Column,
+    weights: tuple[int, ...] = (1, 2, 3),
+    cap: int = 3,
+    shards: int = 8,
+    fineness: int = 1000,
+    seed: int = 9,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+) -> DataFrame:
+    """The result of `mix` with `_row`, the value of `row`: it tells rows of equal id, text and source apart."""
     spark = docs.sparkSession
     rows = stored(
         docs.select(
+            row.alias("_row"),
             F.col(id_col).alias("doc_id"),
             F.col(source_col).cast("string").alias("source"),
             word_count(F.col(text_col)).alias("size"),
@@ -136,7 +153,7 @@ def mix(
         ],
         schema,
     )
-    placed = running_start(rows, ["source"], "_key", "size", "_at", ties=("doc_id", "size"))
+    placed = running_start(rows, ["source"], "_key", "size", "_at", ties=("doc_id", "size", "_row"))
     joined = placed.join(plan, F.col("source").eqNullSafe(F.col("_s")))
     whole = F.expr("IF(source_size > 0, _words div source_size, 0)")
     rest = F.col("_words") - F.col("rounds") * F.col("source_size")
@@ -146,7 +163,7 @@ def mix(
         .withColumn("head", F.greatest(F.lit(0), F.least(rest - F.col("_at"), F.col("size"))).cast("long"))
         .withColumn("taken", F.col("rounds") * F.col("size") + F.col("head"))
         .withColumn("shard", F.when(F.col("taken") > 0, F.size(F.filter("_upto", lambda u: u <= first))))
-        .select("doc_id", "source", "size", "source_size", "target", "taken", "rounds", "head", "shard")
+        .select("_row", "doc_id", "source", "size", "source_size", "target", "taken", "rounds", "head", "shard")
     )
 
 
@@ -154,14 +171,17 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus, in the columns of `docs`: each document as often as taken, a head cut after its last word.
 
     Documents of which nothing is taken leave. `n_chars`, where it is a column,
-    follows the text. Documents must have distinct ids; a null id leaves.
+    follows the text. Every row has its own rounds and head, whatever its id:
+    rows are written once with a key of their own, and the mix is joined by it.
     """
-    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
+    text_col = options.get("text_col", "text")
+    row = fresh(docs, "_mix_row")
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows")
     key, rounds, head, size, words, text = (
-        fresh(docs, f"_mix_{n}") for n in ("id", "rounds", "head", "size", "words", "text")
+        fresh(docs, f"_mix_{n}") for n in ("key", "rounds", "head", "size", "words", "text")
     )
-    taken = mix(docs, **options).where("taken > 0").select(
-        F.col("doc_id").alias(key), F.col("rounds").alias(rounds), F.col("head").alias(head), F.col("size").alias(size)
+    taken = _mix_rows(rows, F.col(row), **options).where("taken > 0").select(
+        F.col("_row").alias(key), F.col("rounds").alias(rounds), F.col("head").alias(head), F.col("size").alias(size)
     )
     parts = F.concat(
         F.array_repeat(F.col(size), F.col(rounds).cast("int")),
@@ -174,7 +194,7 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
     if "n_chars" in columns:
         columns["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
     return (
-        docs.join(taken, F.col(id_col) == F.col(key))
+        rows.join(taken, F.col(row) == F.col(key))
         .withColumn(words, F.explode(parts))
         .withColumn(text, F.when(F.col(words) < F.col(size), cut).otherwise(F.col(text_col)))
         .select(*[c.alias(n) for n, c in columns.items()])

@@ -79,3 +79,26 @@ def test_mixed_corpus_has_the_words_taken(documents, words):
 
 def test_empty_table(documents):
     assert mixing.mix(documents([])).collect() == []
+
+
+def test_mixed_corpus_row_by_row_with_null_and_repeated_ids(documents, words):
+    w = words(3)
+    rows = [(i, w.text(w.random.randint(1, 40)), "en", "abc"[i % 3]) for i in range(60)]
+    rows += [(None, f"null{i} " + w.text(20), "en", "abc"[i % 3]) for i in range(9)]  # no id
+    rows += [(100, "same words in four rows", "en", "c")] * 4  # repeated rows
+    rows += [(200, "long " + w.text(50), "en", "c"), (200, "short one", "en", "b"), (200, None, "en", "b")]  # one id, other texts
+    docs = documents(rows)
+    taken = {}
+    for r in mixing.mix(docs).collect():
+        taken[r["source"]] = taken.get(r["source"], 0) + r["taken"]
+    got, seen = {}, {}
+    for r in mixing.apply_mix(docs).collect():
+        whole = [t for i, t, _, s in rows if i == r["doc_id"] and s == r["source"] and t and t.startswith(r["text"])]
+        assert whole and r["n_chars"] == len(r["text"])
+        got[r["source"]] = got.get(r["source"], 0) + len(r["text"].split())
+        seen.setdefault((r["doc_id"], whole[0]), []).append(len(r["text"].split()))
+    assert got == {k: v for k, v in taken.items() if v}
+    for (i, text), pieces in seen.items():
+        copies = sum((i, text) == (a, b) for a, b, _, _ in rows)
+        assert sum(pieces) <= 3 * copies * len(text.split())
+    assert any(i is None for i, _ in seen)
