@@ -464,8 +464,22 @@ def near_duplicates(
     )
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """`docs`, in its columns, without the documents that a linked one with a smaller id stands for."""
-    name = fresh(docs, "_gone")
-    gone = near_duplicates(docs, id_col=id_col, **options).where("NOT kept").select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(gone, F.col(id_col) == F.col(name), "left_anti")
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row of each class of linked texts, in the columns of `docs`: the one with the smallest id, a null id last.
+
+    Rows are linked and kept one by one, whatever their ids: of repeated rows
+    and of copies without an id one stays, and a row with a
+    text of its own stays though another row of its id leaves. Texts without words all stay.
+    Among rows of equal id a hash of the text decides, then the place.
+    """
+    row = fresh(docs, "_row")
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    classes = near_duplicates(rows, id_col=row, text_col=text_col, **options).select(
+        F.col("doc_id").alias("node"), F.col("component_id").alias("comp")
+    )
+    given = F.col(id_col).cast("long")
+    order = F.struct(given.isNull().alias("none"), given.alias("id"), F.xxhash64(text_col).alias("text"), F.col(row).alias("node"))
+    ranked = rows.select(F.col(row).alias("node"), order.alias("order"))
+    kept = classes.join(ranked, "node").groupBy("comp").agg(F.min("order").alias("order"))
+    name = fresh(rows, "_kept")
+    return rows.join(kept.select(F.col("order.node").alias(name)), F.col(row) == F.col(name), "left_semi").drop(row)

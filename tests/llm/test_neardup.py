@@ -103,3 +103,14 @@ def test_sketches_and_tuples_follow_similarity():
             meets += bool((s[:10] == t[:10]).any() and (s[10:] == t[10:]).any())
         assert close >= 55
         assert meets >= 59 or share < 0.9
+
+
+def test_rows_are_kept_one_by_one_with_null_and_repeated_ids(documents):
+    draw = random.Random(4)
+    t, u, v, z, n = (" ".join("x%d" % draw.randrange(10**6) for _ in range(40)) for _ in range(5))
+    rows = [(3, t), (5, t), (5, u), (3, v), (7, z), (7, z), (None, t), (None, n), (None, n), (None, n + " more"), (8, None), (None, "")]
+    kept = neardup.keep_one(documents(rows, extra=("node", "comp", "_row"))).collect()
+    found = sorted((r["doc_id"] or 0, r["text"] or "") for r in kept)
+    unlinked = [x for x in found if x[1] not in (n, n + " more")]
+    assert unlinked == sorted([(3, t), (5, u), (3, v), (7, z), (8, ""), (0, "")])
+    assert len(found) == len(unlinked) + 1
