@@ -2,7 +2,8 @@
 
 A run of token characters is a secret if the model of random strings makes it
 likelier, per character, than the model of identifiers by more than a margin
-learned from labelled strings. Native functions only: a pattern's matches are
+learned from labelled strings; what lies beside fixed patterns and the parts of a
+run between separators count as well. Native functions only: a pattern's matches are
 framed with control characters, and the lengths of the pieces give their places.
 """
 
@@ -28,6 +29,8 @@ KINDS: dict[str, tuple[str, str, int]] = {
 }
 RANDOM = "markov"
 RUN = r"([A-Za-z0-9+/_-]{20,}={0,2})"
+# A run is parted at each separator alone, as the others may belong to a secret's alphabet, and at all of them.
+SEPARATORS = ("/", "_", "-", "[+]", "[+/_-]")
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-="
 SPAN = "array<struct<start:int,rank:int,kind:string,end:int,text:string>>"
 
@@ -183,22 +186,89 @@ def scan(docs: DataFrame, models: Models, text_col: str = "text", out: str = "sp
     """`docs` with `out`: the spans (start, rank, kind, end, text) of all secrets by start, then kind.
 
     Places are code points, the end exclusive. Kinds: assign, access, hex, and
-    markov for a run of 20 or more token characters with a digit and a letter,
-    or in both cases, that overlaps no base span and passes the margin. Null
+    markov for what base spans leave of a run of token characters: each rest of
+    20 or more with a digit and a letter, or in both cases, that passes the
+    margin as a whole, else those of its parts between separators that do. Null
     texts count as empty and have none. Every column of `docs` stays.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     mixed = lambda v: (v.rlike("[0-9]") & v.rlike("[A-Za-z]")) | (v.rlike("[a-z]") & v.rlike("[A-Z]"))
-    keep = lambda v: mixed(v) & (ratio(v, models.ratios) > models.margin)
-    method = matches(text, RANDOM, len(KINDS), RUN, "\x01\x03$1\x02", keep)
+    keep = lambda v: v.rlike(f"^{RUN}$") & mixed(v) & (ratio(v, models.ratios) > models.margin)
+    runs = matches(text, RANDOM, len(KINDS), RUN, "\x01\x03$1\x02", mixed)
+
+    def secrets(rest: Column) -> Column:
+        parts = F.concat(*[
+            F.when(rest["text"].rlike(s), F.filter(parted(rest, s), lambda p: keep(p["text"]))).otherwise(F.array().cast(SPAN))
+            for s in SEPARATORS
+        ])
+        some = F.when(rest["text"].rlike("[+/_-]"), once(parts, lambda p: united(rest, p))).otherwise(F.array().cast(SPAN))
+        return F.when(keep(rest["text"]), F.array(rest)).otherwise(some)
 
     def both(base: Column) -> Column:
-        clear = lambda r: ~F.exists(base, lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"]))
-        return F.array_sort(F.concat(base, F.filter(method, clear)))
+        rests = F.flatten(F.transform(runs, lambda r: cleared(r, base)))
+        return F.array_sort(F.concat(base, F.flatten(F.transform(rests, secrets))))
 
     return docs.withColumn(out, once(base_spans(text), both))
 
 
+def stretch(of: Column, start: Column, end: Column) -> Column:
+    """The span from `start` to `end` within the span `of`."""
+    return F.struct(
+        start.cast("int").alias("start"), of["rank"].alias("rank"), of["kind"].alias("kind"), end.cast("int").alias("end"),
+        F.substring(of["text"], start - of["start"] + 1, end - start).alias("text"),
+    )
+
+
+def cleared(run: Column, base: Column) -> Column:
+    """What the base spans, sorted by start, leave of a run."""
+    near = F.filter(base, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
+
+    def cut(spans: Column) -> Column:
+        add = lambda a, end: F.when(
+            end > a["at"], F.concat(a["spans"], F.array(stretch(run, a["at"], end)).cast(SPAN))
+        ).otherwise(a["spans"])
+        return F.aggregate(
+            spans,
+            F.struct(run["start"].alias("at"), F.array().cast(SPAN).alias("spans")),
+            lambda a, b: F.struct(F.greatest(a["at"], b["end"]).alias("at"), add(a, b["start"]).alias("spans")),
+            lambda a: add(a, run["end"]),
+        )
+
+    return once(near, lambda n: F.when(F.size(n) > 0, cut(n)).otherwise(F.array(run)))
+
+
+def parted(span: Column, separator: str) -> Column:
+    """The parts of a span between the separators."""
+    return F.aggregate(
+        F.split(span["text"], separator),
+        F.struct(span["start"].alias("at"), F.array().cast(SPAN).alias("spans")),
+        lambda a, p: F.struct(
+            (a["at"] + F.length(p) + 1).alias("at"),
+            F.when(F.length(p) >= 20, F.concat(
+                a["spans"], F.array(stretch(span, a["at"], a["at"] + F.length(p))).cast(SPAN)
+            )).otherwise(a["spans"]).alias("spans"),
+        ),
+        lambda a: a["spans"],
+    )
+
+
+def united(span: Column, parts: Column) -> Column:
+    """Parts of a span, those that overlap made one."""
+    return F.aggregate(
+        F.array_sort(parts),
+        F.array().cast(SPAN),
+        lambda a, p: F.when(
+            (F.size(a) > 0) & (F.element_at(a, -1)["end"] > p["start"]),
+            F.concat(
+                F.slice(a, 1, F.size(a) - 1),
+                F.array(stretch(
+                    span, F.element_at(a, -1)["start"], F.greatest(F.element_at(a, -1)["end"], p["end"])
+                )).cast(SPAN),
+            ),
+        ).otherwise(F.concat(a, F.array(p))),
+    )
+
+
 def written(spans: Column) -> Column:
     """kind:start:end of the spans, comma-joined in their order."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
