@@ -97,12 +97,20 @@ NOTICES = {
     "GPL-3.0-only": "This work is licensed under the GNU General Public License, version 3.",
 }
 
+# What follows `copyright` where a licence's own sentence is broken before it, unless a year or a mark comes after.
+_PROSE = (
+    r"(?:notices?|holders?|owners?|laws?|licen[sc]es?|statements?|permission|interest|disclaimer)\b"
+    r"(?![^\n]*(?:\b[12][0-9]{3}\b|\(c\)|©))"
+)
+
 
 def canonical(text: Column) -> Column:
     """Lower case; lines of copyright and of reserved rights gone; words of a-z and 0-9 with one blank between; one
-    spelling for equivalent ones."""
+    spelling for equivalent ones. A line that goes on with licence words after `copyright` is one of the licence."""
     lower = F.lower(text)
-    kept = F.regexp_replace(lower, r"(?md)^[^a-z0-9\n]*(copyright[ \t]|\(c\)|©|all rights reserved)[^\n]*$", " ")
+    kept = F.regexp_replace(
+        lower, rf"(?md)^[^a-z0-9\n]*(copyright[ \t]+(?!{_PROSE})(?=[^ \t\r\n])|\(c\)|©|all rights reserved)[^\n]*$", " "
+    )
     words = F.trim(F.regexp_replace(kept, r"[^a-z0-9]+", " "))
     one = F.create_map(*[F.lit(x) for pair in SPELLINGS.items() for x in pair])
     return F.array_join(F.transform(F.split(words, " "), lambda w: F.coalesce(F.element_at(one, w), w)), " ")

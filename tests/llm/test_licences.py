@@ -36,3 +36,16 @@ def test_licences_are_told_apart_and_shared_texts_named_together(spark):
 
 def test_empty_table(spark, documents):
     assert scan(spark, documents([])).collect() == []
+
+
+def test_line_breaks_do_not_count(spark, documents):
+    import textwrap
+
+    def wrapped(text, width):
+        return "\n\n".join(textwrap.fill(p, width) for p in text.split("\n\n"))
+
+    texts = [(name, wrapped(text, width)) for name, text in licences.LICENCES.items() for width in range(35, 121)]
+    texts += [("MIT", licences.LICENCES["MIT"].replace("(c) <year> <holder>", h)) for h in ("Some Body and others", "Law Offices 2010")]
+    assert any(line.lower().startswith("copyright notice") for _, t in texts for line in t.split("\n"))
+    found = {r["doc_id"]: r["licence"] for r in scan(spark, documents([(i, t) for i, (_, t) in enumerate(texts)])).collect()}
+    assert [found[i] for i in range(len(texts))] == [name for name, _ in texts]
