@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from laneflow.llm import ann, language, licences, mixing, neardup, packing, quality, rules, secret_scan, sharding
+from laneflow.llm import ann, conversations, language, licences, mixing, neardup, oracle, packing, quality, rules, secret_scan, sharding
 from laneflow.llm.base import held_out, table
 
 
@@ -67,6 +67,10 @@ def op10_language(spark, folder):
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op13_conversation_repair(spark, folder):
+    return conversations.audit_damaged(table(spark, folder, "conversations"))
+
+
 QUERIES = {
     "op1_compression_quality": op1_compression_quality,
     "op2_sampled_shards": op2_sampled_shards,
@@ -78,5 +82,9 @@ QUERIES = {
     "op8_risk_controlled_rules": op8_risk_controlled_rules,
     "op9_source_mix": op9_source_mix,
     "op10_language": op10_language,
+    "op13_conversation_repair": op13_conversation_repair,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op7_licence_digests": licences.oracle_sql(),
+    "op13_conversation_repair": oracle.CONVERSATION_AUDIT,
 }
-ORACLE_SQL: dict[str, str] = {"op7_licence_digests": licences.oracle_sql()}
