@@ -75,3 +75,60 @@ FROM (SELECT DISTINCT conv_id FROM conversations) o
 LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
 LEFT JOIN chosen h ON h.conv_id IS NOT DISTINCT FROM o.conv_id
 """
+
+# Every kept term with every group, and every pair of groups over all of them.
+SOURCE_DIVERGENCE = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words
+  FROM documents
+), w AS (
+  SELECT id, lang, source, unnest(words) AS term FROM d
+), kept AS (
+  SELECT lang, term, count(*) AS n FROM w GROUP BY lang, term HAVING count(DISTINCT id) >= 3
+), langs AS (
+  SELECT lang, count(*) AS kinds, sum(n) AS total FROM kept GROUP BY lang
+), groups AS (
+  SELECT DISTINCT lang, source FROM d
+), counts AS (
+  SELECT lang, source, term, count(*) AS n FROM w JOIN kept USING (lang, term) GROUP BY lang, source, term
+), counted AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, k.n AS n_lang, l.kinds, l.total AS total_lang,
+         sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang, g.source) AS total
+  FROM groups g JOIN kept k USING (lang) JOIN langs l USING (lang) LEFT JOIN counts c USING (lang, source, term)
+), shares AS (
+  SELECT lang, source, term, n, (1 + (1000000000::HUGEINT * (n + 1)) // (total + kinds))::BIGINT AS p,
+         (1 + (1000000000::HUGEINT * (n_lang + 1)) // (total_lang + kinds))::BIGINT AS q
+  FROM counted
+), pairs AS (
+  SELECT g.lang, g.source, h.source AS item FROM groups g JOIN groups h ON g.lang = h.lang AND g.source <> h.source
+), sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), parts AS (
+  SELECT lang, source, 'pair' AS part, item, coalesce(value, 0)::BIGINT AS value
+  FROM pairs LEFT JOIN sums USING (lang, source, item)
+  UNION ALL
+  SELECT lang, source, 'term', term, ((p - q) * (p - q)) // q FROM shares WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM parts
+)
+SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+# Every query with every row.
+INNER_PRODUCTS = r"""
+WITH v AS (
+  SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), scored AS (
+  SELECT q.id, q.vec_id AS query_id, c.vec_id,
+         coalesce(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])), 0)::BIGINT AS score, c.id AS other
+  FROM v q JOIN v c ON q.id <> c.id AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, vec_id NULLS LAST, other) AS rank FROM scored
+)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 20
+"""

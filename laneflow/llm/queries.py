@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from laneflow.llm import ann, conversations, language, licences, mixing, neardup, oracle, packing, quality, rules, secret_scan, sharding
+from laneflow.llm import ann, conversations, divergence, language, licences, mixing, neardup, oracle, packing, pivots, quality, rules, secret_scan, sharding
 from laneflow.llm.base import held_out, table
 
 
@@ -67,6 +67,14 @@ def op10_language(spark, folder):
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op11_source_divergence(spark, folder):
+    return divergence.divergence(table(spark, folder, "documents"))
+
+
+def op12_pivot_elimination(spark, folder):
+    return pivots.search(table(spark, folder, "embeddings"))
+
+
 def op13_conversation_repair(spark, folder):
     return conversations.audit_damaged(table(spark, folder, "conversations"))
 
@@ -82,9 +90,13 @@ QUERIES = {
     "op8_risk_controlled_rules": op8_risk_controlled_rules,
     "op9_source_mix": op9_source_mix,
     "op10_language": op10_language,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_pivot_elimination": op12_pivot_elimination,
     "op13_conversation_repair": op13_conversation_repair,
 }
 ORACLE_SQL: dict[str, str] = {
     "op7_licence_digests": licences.oracle_sql(),
+    "op11_source_divergence": oracle.SOURCE_DIVERGENCE,
+    "op12_pivot_elimination": oracle.INNER_PRODUCTS,
     "op13_conversation_repair": oracle.CONVERSATION_AUDIT,
 }
