@@ -240,6 +240,7 @@ FROM measured""",
     "site_table": "WITH " + _SITES + " SELECT * EXCLUDE (price) FROM site",
     "site_characteristics": _CHARACTERISTICS,
     "site_dictionary_file": _CHARACTERISTICS,
+    "site_dictionary_layouts": _CHARACTERISTICS,
     "site_xml_files": _CHARACTERISTICS,
     "site_summary": "WITH "
     + _SITES

@@ -58,6 +58,8 @@ ROWS_PER_XML_FILE = 100_000
 
 DEDUP_SALTS = 8
 
+SITES_PER_OBJECT = 500
+
 
 def query(function: Query) -> Query:
     QUERIES[function.__name__] = function
@@ -353,6 +355,21 @@ def site_dictionary_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sites.dictionary_characteristics(read)
 
 
+@query
+def site_dictionary_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Site dictionaries of two layouts read together: by line, and indented objects split at their braces."""
+    nested = stored(sites.site_dictionary(_part_sites(spark, sf_dir)), "site-records")
+    number = F.col("measurementSiteId").cast("bigint")
+    by_line, indented = scratch_path(spark, "dictionary-by-line"), scratch_path(spark, "dictionary-indented")
+    sinks.write_site_dictionary(stored(nested.where(number % 2 == 0), "site-records"), by_line)
+    entry = F.struct("measurementSiteId", F.struct(*nested.columns))
+    objects = nested.where(number % 2 == 1).groupBy(F.floor(number / SITES_PER_OBJECT)).agg(
+        F.map_from_entries(F.collect_list(entry)).alias("sites")
+    )
+    objects.select(F.to_json("sites", {"pretty": "true"})).write.text(indented)
+    return sites.dictionary_characteristics(sources.read_site_dictionary(spark, [by_line, indented]))
+
+
 @query
 def latest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Last order line per part and line number."""

@@ -2,31 +2,48 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from laneflow.schemas import CHARACTERISTICS, SITE_DICTIONARY_SCHEMA, SITE_FIELDS
+from laneflow.sources.json_members import read_object_members
+from laneflow.sources.lines import read_positioned_lines
+
+# A line of the layout of `write_site_dictionary`: a brace, nothing, or a whole member.
+_BY_LINE = r'^\s*[{}]?\s*$|^".*\}\s*,?\s*$'
 
 
-def read_site_dictionary(spark: SparkSession, path: str) -> DataFrame:
+def read_site_dictionary(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """One row per site: the site fields and the map of its characteristics.
 
-    Takes the layout of `write_site_dictionary`, any number of files in which
-    every line can be parsed by itself, and any other JSON object, which has to
-    be parsed whole, so that each such file is one task. A line that starts
-    with a quoted key tells the first. Malformed text and a dictionary without
-    any text fail.
+    Each file may have a layout of its own. Files in the layout of
+    `write_site_dictionary`, any number of which may make up one object, are
+    parsed line by line. Any other file holds whole objects, indented, in one
+    line or otherwise, and is split among tasks as well. Malformed text and a
+    dictionary without any text fail.
     """
-    lines = spark.read.text(path)
-    members = lines.where(F.col("value").startswith('"'))
-    if members.isEmpty():
-        if lines.where(F.col("value").rlike(r"\S")).isEmpty():
-            raise ValueError(f"no site dictionary in {path}")
-        braces_only = lines.where(~F.col("value").rlike(r"^\s*[{}]?\s*$")).isEmpty()
-        text = spark.read.text(path, wholetext=True).where(F.lit(not braces_only))
-    else:
+    lines = read_positioned_lines(spark, path)
+    files = lines.groupBy("file_path").agg(
+        F.bool_or(F.col("value").rlike(r"\S")).alias("filled"),
+        F.bool_and(F.col("value").rlike(_BY_LINE)).alias("by_line"),
+    )
+    layouts = {r["by_line"] for r in files.where("filled").select("by_line").distinct().collect()}
+    if not layouts:
+        raise ValueError(f"no site dictionary in {path}")
+    found = []
+    if True in layouts:
         entry = F.regexp_replace("value", r",\s*$", "")
-        text = members.select(F.concat(F.lit("{"), entry, F.lit("}")).alias("value"))
+        members = lines.where(F.col("value").startswith('"')).select(
+            "file_path", F.concat(F.lit("{"), entry, F.lit("}")).alias("value")
+        )
+        found.append((members, "by_line"))
+    if False in layouts:
+        found.append((read_object_members(spark, path), "not by_line"))
+    if len(found) > 1:  # each file is read by one of the two
+        found = [(members.join(files.where(f"filled and {own}"), "file_path", "left_semi"), own) for members, own in found]
+    text = reduce(DataFrame.unionByName, [members.select("value") for members, _ in found])
     parsed = F.from_json("value", SITE_DICTIONARY_SCHEMA, {"mode": "FAILFAST"})
     entries = text.select(F.explode(parsed).alias("site_id", "site"))
     return entries.select(
