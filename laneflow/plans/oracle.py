@@ -330,4 +330,89 @@ FROM measured m LEFT JOIN characteristic c
   ON c."measurementSiteId" = m."measurementSiteId" AND c.index = m."measurementIndex"
 WHERE NOT m.error""",
     "stream_dedup": "SELECT user_id, event_id, event_type, value FROM events",
+    "group_totals": """
+WITH d AS (SELECT source, CASE WHEN doc_id % 10 <> 0 THEN lang END AS lang FROM documents)
+SELECT 'source' AS grouping, source AS value, count(*) AS n FROM d GROUP BY source
+UNION ALL SELECT 'lang', lang, count(*) FROM d GROUP BY lang
+UNION ALL SELECT 'total', NULL, count(*) FROM d""",
+    "row_differences": """
+WITH l AS (
+  SELECT l_partkey, l_linenumber, l_quantity, l_returnflag, l_partkey % 10 AS kind FROM lineitem
+), sides AS (
+  SELECT * EXCLUDE (kind), 1 AS l, 0 AS r FROM l
+  UNION ALL
+  SELECT l_partkey, l_linenumber, CASE kind WHEN 2 THEN l_quantity + 1 WHEN 3 THEN NULL ELSE l_quantity END, l_returnflag,
+         0, CASE kind WHEN 1 THEN 2 ELSE 1 END
+  FROM l WHERE kind <> 0
+)
+SELECT l_partkey, l_linenumber, l_quantity, l_returnflag, sum(l)::BIGINT AS left_count, sum(r)::BIGINT AS right_count
+FROM sides GROUP BY ALL HAVING sum(l) <> sum(r)""",
+    "tweet_threads": """
+WITH post AS (
+  SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS nth FROM conversations
+)
+SELECT a.conv_id * 1000 + a.turn AS root, (a.nth - b.nth)::INTEGER AS depth,
+       CASE WHEN a.nth > b.nth THEN CASE h.turn % 2 WHEN 1 THEN 'quoted_status' ELSE 'retweeted_status' END END AS relation,
+       b.conv_id * 1000 + b.turn AS id, length(b.text) AS text_length
+FROM post a JOIN post b ON a.conv_id = b.conv_id AND b.nth BETWEEN a.nth - 4 AND a.nth
+LEFT JOIN post h ON h.conv_id = b.conv_id AND h.nth = b.nth + 1""",
+    "parquet_year_files": """
+SELECT o_orderkey, CASE year(o_orderdate) WHEN 1995 THEN o_totalprice::FLOAT::DOUBLE ELSE o_totalprice END AS o_totalprice,
+       CASE year(o_orderdate) WHEN 1996 THEN o_orderstatus END AS o_orderstatus, year(o_orderdate) AS year
+FROM orders WHERE year(o_orderdate) IN (1995, 1996)""",
+    "stream_changed_arrivals": """
+SELECT user_id, event_id, event_type FROM (
+  SELECT *, lag(event_type) OVER w AS before, row_number() OVER w AS nth
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
+) WHERE nth = 1 OR event_type IS DISTINCT FROM before""",
+    "stream_snapshot_jams": """
+WITH m AS (
+  SELECT CAST(user_id AS VARCHAR) AS site, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS t, event_type AS kind, value AS speed,
+         CAST(floor(value * 60) AS BIGINT) AS hourly, CAST('52.' || user_id % 90 + 10 AS DOUBLE) AS lat,
+         CAST('4.' || user_id % 90 + 10 AS DOUBLE) AS lon
+  FROM events WHERE user_id % 3 <> 0
+)
+SELECT s.site AS "measurementSiteId", s.t AS "measurementTime", 'Site ' || s.site AS "measurementSiteName",
+       s.lat AS latitude, s.lon AS longitude, 'lane1' AS lane, '3' AS "nrOfLanes", s.speed AS "averageSpeed",
+       round(f.hourly / (3600.0::DOUBLE / 60.0::DOUBLE), 6) AS "averageFlow", 60.0::DOUBLE AS period
+FROM m s JOIN m f ON s.site = f.site AND s.t = f.t
+WHERE s.kind <> 'signup' AND s.speed > 30 AND s.speed <= 120 AND f.kind <> 'error' AND f.hourly / 60.0::DOUBLE >= 10""",
+    "stream_ingest_counts": _XML_ROWS
+    + """ SELECT count(*) FILTER (NOT error) AS written, count(*) FILTER (error) AS errors,
+       count(*) FILTER (NOT error) AS rows
+FROM measured""",
+    "stream_site_versions": """
+WITH span AS (
+  SELECT epoch_us(min(ts)) + (epoch_us(max(ts)) - epoch_us(min(ts))) / 2.0 AS middle FROM events
+), e AS (
+  SELECT *, CASE WHEN user_id % 3 <> 0 THEN CASE
+           WHEN user_id % 2 = 0 AND NOT coalesce(epoch_us(ts) < middle, false) THEN 'New ' || user_id ELSE 'Site ' || user_id END
+         END AS name
+  FROM events, span
+)
+SELECT CAST(user_id AS VARCHAR) AS "measurementSiteId", '1' AS "measurementIndex",
+       strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS "measurementTime", name AS "measurementSiteName",
+       CASE WHEN event_type = 'signup' THEN '' ELSE CAST(value AS VARCHAR) END AS value
+FROM e
+UNION ALL
+SELECT CAST(user_id AS VARCHAR), '2', strftime(ts, '%Y-%m-%dT%H:%M:%SZ'), name, CAST(CAST(floor(value * 60) AS BIGINT) AS VARCHAR)
+FROM e WHERE event_type <> 'error'""",
+    "snapshot_reruns": """
+SELECT strftime(date_trunc('day', ts), '%Y_%m_%d_%H_%M_%S') AS snapshot, count(*) AS n
+FROM events GROUP BY 1""",
+    "snapshot_csv_lines": "WITH line AS ("
+    + _ENRICH
+    + """ c."vehicleClass", c.index IS NOT NULL AS enriched, l_shipdate AS ts"""
+    + _ENRICH_JOIN
+    + """
+), core AS (
+  SELECT *, "measurementSiteId" || ',' || "measurementIndex" || ',' || "measurementTime" || ',' || "measurementType" || ','
+         || value AS head
+  FROM line
+)
+SELECT strftime(date_trunc('month', ts), '%Y_%m_%d_%H_%M_%S') AS snapshot, head || CASE WHEN enriched THEN
+       ',' || coalesce("measurementSiteName", 'None') || ',' || coalesce(latitude, 'None') || ',' || coalesce(longitude, 'None')
+       || ',' || coalesce(maxspeed, 'None') || ',' || coalesce("nrOfLanes", 'None') || ',' || coalesce("specificLane", 'None')
+       || ',' || coalesce(period, 'None') || ',' || coalesce("vehicleClass", 'None') ELSE '' END AS value
+FROM core""",
 }

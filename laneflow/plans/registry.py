@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from laneflow import sinks, sources, streaming
 from laneflow.functions import field_count, http_timestamp, snapshot_name
 from laneflow.operators import (
+    compare,
     identity,
     jams,
     measurements,
@@ -20,6 +21,7 @@ from laneflow.operators import (
     sites,
     words,
 )
+from laneflow.operators import posts as posts_of
 from laneflow.plans.tables import (
     EVENT_JAMS,
     HTTP_DATE,
@@ -60,6 +62,8 @@ DEDUP_SALTS = 8
 
 SITES_PER_OBJECT = 500
 
+TWEET_DEPTH = 4
+
 
 def query(function: Query) -> Query:
     QUERIES[function.__name__] = function
@@ -298,13 +302,14 @@ def speed_xml_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measurements.valid_measurements(measurements.all_measurements(parsed))
 
 
-def _write_speed_xml(events: DataFrame, path: str, **options: str) -> None:
-    _write_xml(speed_elements_of_events(events), SPEED_ROW_TAG, path, **options)
+def _write_speed_xml(events: DataFrame, path: str, mode: str = "errorifexists", **options: str) -> None:
+    _write_xml(speed_elements_of_events(events), SPEED_ROW_TAG, path, mode, **options)
 
 
-def _write_xml(elements: DataFrame, row_tag: str, path: str, **options: str) -> None:
+def _write_xml(elements: DataFrame, row_tag: str, path: str, mode: str = "errorifexists", **options: str) -> None:
     (
-        elements.write.format("xml")
+        elements.write.mode(mode)
+        .format("xml")
         .option("rowTag", row_tag)
         .option("rootTag", "payload")
         .option("attributePrefix", "_")
@@ -460,6 +465,28 @@ def group_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.group_counts(table(spark, sf_dir, "documents"), "source", "lang")
 
 
+@query
+def group_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts per source, per language and in total, out of one scan; some documents count as without a language."""
+    language = F.when(F.col("doc_id") % 10 != 0, F.col("lang")).alias("lang")
+    return profile.group_totals(table(spark, sf_dir, "documents").select("source", language), "source", "lang")
+
+
+@query
+def row_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines against a copy that lacks some, has some twice and some with another quantity or without one."""
+    rows = table(spark, sf_dir, "lineitem").select("l_partkey", "l_linenumber", "l_quantity", "l_returnflag")
+    kind = F.col("l_partkey") % 10
+    quantity = F.when(kind == 2, F.col("l_quantity") + 1).when(kind != 3, F.col("l_quantity"))
+    copy = (
+        rows.where(kind != 0)
+        .withColumn("l_quantity", quantity)
+        .withColumn("times", F.explode(F.when(kind == 1, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
+        .drop("times")
+    )
+    return compare.row_differences(rows, copy)
+
+
 @query
 def web_pages_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "web-pages")
@@ -509,6 +536,26 @@ def tweets_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def tweet_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every post of every tweet, each tweet quoting or repeating the one before it, four deep."""
+    path = scratch_path(spark, "tweet-threads")
+    in_conversation = Window.partitionBy("conv_id").orderBy("turn")
+    own = {"id": F.col("conv_id") * 1000 + F.col("turn"), "text": F.col("text")}
+    posts = table(spark, sf_dir, "conversations").select("conv_id", "turn", *[v.alias(n) for n, v in own.items()])
+    post = F.struct("id", "text")
+    for _ in range(TWEET_DEPTH):
+        before = F.lag(post).over(in_conversation)
+        odd = F.col("turn") % 2 == 1
+        held = F.struct("id", "text", F.when(odd, before).alias("quoted_status"), F.when(~odd, before).alias("retweeted_status"))
+        posts = posts.withColumn("post", held)
+        post = F.col("post")
+    posts.select(F.to_json("post", {"ignoreNullFields": "false"})).write.text(path)
+    found = posts_of.unroll_posts(sources.read_tweet_variants(spark, path))
+    fields = posts_of.post_fields(found, id="$.id bigint", text="$.text string")
+    return fields.select("root", "depth", "relation", "id", F.length("text").cast("bigint").alias("text_length"))
+
+
 @query
 def ship_positions_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every field of the ship positions, derived from the events."""
@@ -545,6 +592,21 @@ def parquet_two_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", F.col("year").cast("bigint").alias("year"))
 
 
+@query
+def parquet_year_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two of three years of orders, each a file of its own layout: a narrower key, a column more."""
+    path = scratch_path(spark, "orders-of-years")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus", F.year("o_orderdate").alias("y"))
+    layouts = {
+        1994: orders.select("o_orderkey"),
+        1995: orders.select(F.col("o_orderkey").cast("int"), F.col("o_totalprice").cast("float")),
+        1996: orders.select("o_orderkey", "o_totalprice", "o_orderstatus"),
+    }
+    for year, layout in layouts.items():
+        layout.where(F.col("y") == year).write.parquet(f"{path}/orders-{year}.parquet")
+    return sources.read_parquet_year_files(spark, path, years=[1995, 1996])
+
+
 @query
 def snapshot_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows per snapshot folder, one folder per day of events."""

@@ -5,6 +5,7 @@ from laneflow.sinks.files import (
     write_jam_document,
     write_jam_lines,
     write_measurement_csv,
+    write_partitions,
     write_rows,
     write_site_dictionary,
     write_snapshots,
@@ -17,6 +18,7 @@ __all__ = [
     "write_jam_document",
     "write_jam_lines",
     "write_measurement_csv",
+    "write_partitions",
     "write_rows",
     "write_site_dictionary",
     "write_snapshots",

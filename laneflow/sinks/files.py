@@ -114,12 +114,23 @@ def write_site_dictionary(sites: DataFrame, path: str, mode: str = "errorifexist
     site_dictionary_lines(sites).write.mode(mode).text(path)
 
 
-def write_snapshots(rows: DataFrame, path: str, time: str, mode: str = "append") -> None:
-    """One folder per snapshot, named after its time; a run adds its own snapshots."""
-    (
-        rows.withColumn("snapshot", snapshot_name(F.col(time)))
-        .hint("rebalance", "snapshot")  # else every task writes a file into every folder
-        .write.mode(mode)
-        .partitionBy("snapshot")
-        .parquet(path)
-    )
+def write_snapshots(rows: DataFrame, path: str, time: str, mode: str = "replace", file_format: str = "parquet") -> None:
+    """One folder per snapshot, named after its time; a run adds its own snapshots.
+
+    `replace` lets a run that repeats a snapshot replace its folder, and only
+    its: a job can be run again. `append` adds to what is there. As `csv`, rows
+    are lines of 13 fields where site data matched, else of 5.
+    """
+    named = rows.withColumn("snapshot", snapshot_name(F.col(time)))
+    if file_format == "csv":
+        named, file_format = measurement_lines(named, "snapshot"), "text"
+    # Without the hint every task writes a file into every folder.
+    write_partitions(named.hint("rebalance", "snapshot"), path, ["snapshot"], mode, file_format)
+
+
+def write_partitions(rows: DataFrame, path: str, by: list[str], mode: str = "replace", file_format: str = "parquet") -> None:
+    """Rows into folders by the columns `by`; `replace` only replaces folders that the rows belong to."""
+    writer = rows.write.format(file_format).partitionBy(*by)
+    if mode == "replace":
+        writer, mode = writer.option("partitionOverwriteMode", "dynamic"), "overwrite"
+    writer.mode(mode).save(path)

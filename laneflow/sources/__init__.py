@@ -1,7 +1,9 @@
 from laneflow.sources.catalogue import (
     read_articles,
+    read_parquet_year_files,
     read_parquet_years,
     read_ship_positions,
+    read_tweet_variants,
     read_tweets,
     read_web_pages,
 )
@@ -26,12 +28,14 @@ __all__ = [
     "read_lines",
     "read_loop_rows",
     "read_measurements",
+    "read_parquet_year_files",
     "read_parquet_years",
     "read_positioned_lines",
     "read_ship_positions",
     "read_site_dictionary",
     "read_site_xml",
     "read_speed_xml",
+    "read_tweet_variants",
     "read_tweets",
     "read_web_pages",
     "stream_measurements",

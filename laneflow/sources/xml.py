@@ -17,7 +17,7 @@ _NAMES = {"ignoreNamespace": "true", "attributePrefix": "_", "valueTag": "_VALUE
 
 
 def read_speed_xml(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """One row per measured site, with `snapshot_time` of the file it came from."""
+    """One row per measured site, with `snapshot_time` and `snapshot_file`, time and name of the file it came from."""
     return _with_snapshot(_speed(spark.read).load(path))
 
 
@@ -73,7 +73,11 @@ def _speed(reader):
 
 
 def _with_snapshot(rows: DataFrame) -> DataFrame:
-    return rows.select("*", F.col("_metadata.file_modification_time").alias("snapshot_time"))
+    return rows.select(
+        "*",
+        F.col("_metadata.file_modification_time").alias("snapshot_time"),
+        F.col("_metadata.file_name").alias("snapshot_file"),
+    )
 
 
 def _parsed(rows, column, schema, row_tag, keep=()):

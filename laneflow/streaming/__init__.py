@@ -1,3 +1,4 @@
+from laneflow.streaming.changes import changed_arrivals
 from laneflow.streaming.ingest import (
     POLL_INTERVAL_S,
     ingest_measurements,
@@ -9,13 +10,19 @@ from laneflow.streaming.ingest import (
     without_repeats,
 )
 from laneflow.streaming.jams import stream_traffic_jams
+from laneflow.streaming.managed import current_table, ingest_counts, start_ingest, start_latest_table
 
 __all__ = [
     "POLL_INTERVAL_S",
+    "changed_arrivals",
+    "current_table",
+    "ingest_counts",
     "ingest_measurements",
     "new_measurements",
     "rows_too_late",
     "run_available",
+    "start_ingest",
+    "start_latest_table",
     "start_parquet",
     "start_snapshots",
     "stream_traffic_jams",

@@ -1,0 +1,53 @@
+import json
+
+import pytest
+
+from laneflow import sources
+from laneflow.operators.posts import post_fields, unroll_posts
+
+
+def chain(depth, start=1):
+    post = {"id": start + depth, "text": "last", "quoted_status": None}
+    for i in range(depth - 1, -1, -1):
+        post = {"id": start + i, "text": f"t{i}", ("quoted_status", "retweeted_status")[i % 2]: post}
+    return post
+
+
+def flat(post, root=None, depth=0, relation=None):
+    root = post["id"] if root is None else root
+    yield root, depth, relation, post["id"], post.get("text")
+    for field in ("quoted_status", "retweeted_status"):
+        if isinstance(post.get(field), dict):
+            yield from flat(post[field], root, depth + 1, field)
+
+
+def unrolled(spark, write, posts):
+    path = write({"tweets.json": "".join(json.dumps(p) + "\n" for p in posts)})
+    found = post_fields(unroll_posts(sources.read_tweet_variants(spark, path)), id="$.id bigint", text="$.text string")
+    return sorted((tuple(r) for r in found.collect()), key=str)
+
+
+def test_posts_of_any_depth(spark, write):
+    both = {"id": 500, "text": "both", "quoted_status": chain(2, 510), "retweeted_status": {**chain(0, 520), "retweeted_status": chain(1, 530)}}
+    odd = [{"id": 600, "quoted_status": "a text"}, {"id": 601, "quoted_status": [1]}, {"id": 602, "retweeted_status": {}}]
+    # Posts that name each other by id are no cycle: what is within a text ends.
+    named = [{"id": 700, "quoted_status_id": 701, "quoted_status": {"id": 701, "quoted_status_id": 700, "quoted_status": {"id": 700}}}]
+    posts = [chain(0, 1), chain(4, 100), chain(12, 200), both, named[0]]
+    got = unrolled(spark, write, posts + odd)
+    want = [r for p in posts for r in flat(p)] + [(600, 0, None, 600, None), (601, 0, None, 601, None), (602, 0, None, 602, None),
+                                                  (602, 1, "retweeted_status", None, None)]
+    assert got == sorted(want, key=str)
+
+
+def test_no_posts_and_no_json(spark, write):
+    assert unrolled(spark, write, []) == []
+    with pytest.raises(Exception, match="MALFORMED"):
+        sources.read_tweet_variants(spark, write({"t.json": '{"id": '}, "bad")).collect()
+
+
+def test_columns_of_the_outer_post_are_inherited(spark, write):
+    path = write({"tweets.json": json.dumps(chain(2))})
+    from pyspark.sql import functions as F
+
+    posts = sources.read_tweet_variants(spark, path).withColumn("day", F.lit("monday"))
+    assert [(r["day"], r["depth"]) for r in unroll_posts(posts, keep=("day",)).orderBy("depth").collect()] == [("monday", i) for i in range(3)]
