@@ -58,8 +58,8 @@ def _to_pivots(vectors: np.ndarray, space: Space) -> np.ndarray:
 def _most(gap: np.ndarray, norm: np.ndarray | float, norms: np.ndarray | float, norm2: float) -> np.ndarray:
     """The largest inner product of vectors of these squared lengths at a distance of `gap` or more, and some more
     than rounding can take away."""
-    slack = 1e-6 * np.sqrt(norm2)
-    return (norm + norms - np.square(np.maximum(gap - slack, 0.0))) / 2 + 1e-6 * norm2 + 1e-3
+    slack = 4e-6 * np.sqrt(norm2)
+    return (norm + norms - np.square(np.maximum(gap - slack, 0.0))) / 2 + 2e-6 * norm2 + 1e-3
 
 
 def _cells_most(queries: np.ndarray, space: Space) -> np.ndarray:
@@ -93,7 +93,9 @@ class Block:
         # In the order of ties, so that a stable sort by score is the order of results.
         order = np.lexsort((rows, ids, ~known))
         self.rows, self.ids, self.known, self.vectors = rows[order], ids[order], known[order], vectors[order]
-        self.far = np.ascontiguousarray(far[order].T) if far is not None and space is not None else None
+        # Single precision is within the slack of the bounds.
+        self.far = np.ascontiguousarray(far[order].T, dtype=np.float32) if far is not None and space is not None else None
+        self.room = None if self.far is None else np.empty_like(self.far)
         self.space = space
         self.short = space is not None or bool((np.einsum("ij,ij->i", vectors, vectors) < WIDE).all())
         self.by_row = np.argsort(self.rows)
@@ -116,10 +118,25 @@ class Block:
             at = np.flatnonzero(others)
             return self._cut(at, self._scores(at, query, self.short and not wide), k, least)
         near = _to_pivots(query[None, :], self.space)[0]
-        gap = np.abs(self.far - near[:, None]).max(axis=0)
-        most = _most(gap, near[0] ** 2, np.square(self.far[0]), self.space.norm2)
-        left = np.flatnonzero(others & (most >= least))
-        at, scores = np.empty((2, 0), dtype=np.int64)
+        np.subtract(self.far, near.astype(np.float32)[:, None], out=self.room)
+        gap = np.abs(self.room, out=self.room).max(axis=0).astype(np.float64)
+        most = _most(gap, near[0] ** 2, np.square(self.far[0], dtype=np.float64), self.space.norm2)
+        most[~others] = -np.inf
+        # The best by bound first: their k-th score rules out most of the others, if anything does.
+        at = np.argpartition(-most, CHUNK)[:CHUNK] if len(most) > CHUNK else np.arange(len(most))
+        seen = at = at[most[at] >= max(least, -LONG - 1)]
+        at, scores = self._cut(at, self._scores(at, query, True), k, least)
+        if len(most) <= CHUNK:
+            return at, scores
+        bar = scores[-1] if len(at) == k else least
+        left = most >= max(bar, -LONG - 1)
+        left[seen] = False
+        if np.count_nonzero(left) > len(most) // 4:
+            # Bounds say little about this query: the rest at once is faster than in order.
+            self.looked += len(most)
+            left = np.flatnonzero(left)
+            return self._cut(np.concatenate([at, left]), np.concatenate([scores, (self.vectors @ query).astype(np.int64)[left]]), k, least)
+        left = np.flatnonzero(left)
         left = left[np.argsort(-most[left], kind="stable")]
         while len(left):
             head, left = left[:CHUNK], left[CHUNK:]
@@ -131,6 +148,8 @@ class Block:
 
     @staticmethod
     def _cut(at: np.ndarray, scores: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+        if len(scores) > 4 * k:
+            least = max(least, np.partition(scores, len(scores) - k)[len(scores) - k])
         keep = scores >= least
         at, scores = at[keep], scores[keep]
         # -scores would overflow for the smallest long.
