@@ -1,0 +1,30 @@
+import subprocess
+import sys
+
+from tests.conftest import ROOT
+
+HIDDEN = """
+import sys
+class Hide:
+    def find_spec(self, name, path=None, target=None):
+        if name == {name!r} or name.startswith({name!r} + "."):
+            raise ModuleNotFoundError("hidden " + name)
+sys.meta_path.insert(0, Hide())
+sys.path.insert(0, {root!r})
+import __spark_entry__ as entry
+names = set(entry.queries())
+assert "traffic_jams" in names and set(entry.oracle_sql()) <= names, names
+print(len([n for n in names if n.startswith("op")]), "pipeline" in names)
+"""
+
+
+def queries_without(name):
+    done = subprocess.run([sys.executable, "-c", HIDDEN.format(name=name, root=ROOT)], capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr
+    return done.stdout.strip()
+
+
+def test_the_other_queries_stay_where_a_dependency_or_the_part_is_missing():
+    assert queries_without("tiktoken") == "0 False"
+    assert queries_without("laneflow.llm") == "0 False"
+    assert queries_without("corpus_pipeline") == "0 False"
