@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from laneflow.llm.arrow import matrix, runs
 from laneflow.llm.base import hash_sample, ship_code, stored
 
 __all__ = ["search"]
@@ -157,25 +158,6 @@ class Block:
         return at[order], scores[order]
 
 
-def _matrix(column: pa.ListArray, rows: slice | np.ndarray) -> np.ndarray:
-    part = column.slice(rows.start, rows.stop - rows.start) if isinstance(rows, slice) else column.take(pa.array(rows))
-    flat = part.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
-    return flat.reshape(len(part), len(flat) // max(1, len(part)))
-
-
-def _runs(*columns: np.ndarray) -> list[slice]:
-    """Stretches of equal values."""
-    n = len(columns[0])
-    if not n:
-        return []
-    change = np.zeros(n, dtype=bool)
-    change[0] = True
-    for c in columns:
-        change[1:] |= c[1:] != c[:-1]
-    starts = np.flatnonzero(change)
-    return [slice(a, b) for a, b in zip(starts, [*starts[1:], n])]
-
-
 def _whole(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
     """row, vec_id, size, wide and v, the integers floor(scale * x), of the vectors that take part."""
     x = F.transform(F.col(vector_col).cast("array<double>"), lambda c: c * F.lit(float(scale)))
@@ -232,7 +214,7 @@ def _placed(rows: DataFrame, spaces) -> DataFrame:
             for size in np.unique(sizes):
                 at = np.flatnonzero((sizes == size) & (norm2 < WIDE))
                 if size in known and len(at):
-                    gaps = _to_pivots(_matrix(batch.column("v"), at), known[size])
+                    gaps = _to_pivots(matrix(batch.column("v"), at), known[size])
                     cell[at] = gaps[:, 1 : known[size].cells + 1].argmin(axis=1)
                     for i, g in zip(at, gaps):
                         far[i] = g
@@ -252,7 +234,7 @@ def _ranges(placed: DataFrame, spaces: dict[int, Space]) -> dict[int, Space]:
             size, cell = batch.column("size").to_numpy(), batch.column("cell").to_numpy()
             out = []
             for s, c in {*zip(size.tolist(), cell.tolist())}:
-                far = _matrix(batch.column("far"), np.flatnonzero((size == s) & (cell == c)))
+                far = matrix(batch.column("far"), np.flatnonzero((size == s) & (cell == c)))
                 out += [(s, c, i, lo, hi) for i, (lo, hi) in enumerate(zip(far.min(axis=0).tolist(), far.max(axis=0).tolist()))]
             yield pa.RecordBatch.from_pylist(
                 [dict(zip(("size", "cell", "pivot", "low", "high"), r)) for r in out],
@@ -297,7 +279,7 @@ def _visits(queries: DataFrame, spaces, first: bool) -> DataFrame:
                 space = known.get(int(size))
                 rows = np.flatnonzero((sizes == size) & (own != NO_CELL))
                 if len(rows):
-                    most = _cells_most(_matrix(batch.column("v"), rows), space)
+                    most = _cells_most(matrix(batch.column("v"), rows), space)
                     home = most.argmax(axis=1)
                     for cell in range(space.cells):
                         if first:
@@ -348,21 +330,21 @@ def _probe(placed: DataFrame, sizes: DataFrame, visits: DataFrame, spaces, k: in
             columns = [batch.column(c).to_numpy() for c in ("size", "cell", "block", "set", "part")]
             rows, least, wide = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("row", "least", "wide"))
             out = []
-            for run in _runs(*columns):
+            for run in runs(*columns):
                 here = tuple(int(c[run.start]) for c in columns[:4])
                 if here != key:
                     key, held, block = here, [], None
                 if columns[4][run.start] == 0:
                     ids = batch.column("vec_id").slice(run.start, run.stop - run.start)
-                    far = None if here[1] == NO_CELL else _matrix(batch.column("far"), run)
-                    held.append((rows[run], ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False), _matrix(batch.column("v"), run), far))
+                    far = None if here[1] == NO_CELL else matrix(batch.column("far"), run)
+                    held.append((rows[run], ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False), matrix(batch.column("v"), run), far))
                     continue
                 if block is None and held:
                     whole = [None if part[0] is None else np.concatenate(part) for part in zip(*held)]
                     block, held = Block(*whole, None if here[1] == NO_CELL else known.get(here[0])), []
                 if block is None:
                     continue
-                for i, query in zip(range(run.start, run.stop), _matrix(batch.column("v"), run)):
+                for i, query in zip(range(run.start, run.stop), matrix(batch.column("v"), run)):
                     at, scores = block.best(int(rows[i]), query, k, least[i], bool(wide[i]))
                     out.append((np.full(len(at), rows[i]), block.rows[at], block.ids[at], ~block.known[at], scores))
             if out:

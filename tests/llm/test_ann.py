@@ -70,3 +70,68 @@ def test_rotations_are_rotations():
     x = ann.unit(np.random.default_rng(1).normal(size=(500, 16)))
     turn = ann.learn_rotation(x, 0)
     assert np.allclose(turn @ turn.T, np.eye(16))
+
+
+def exact(rows, k=5, every=50):
+    """Cosines of all rows of a query's length, in long doubles; rows of one id and vector count once."""
+    seen = sorted({(i, tuple(v)) for i, v, *_ in rows if i is not None and v and all(np.isfinite(v)) and any(v)})
+    out = {}
+    for n, (i, v) in enumerate(seen):
+        if i % every:
+            continue
+        q = np.array(v, dtype=np.longdouble)
+        found = []
+        for m, (j, w) in enumerate(seen):
+            if m != n and len(w) == len(v):
+                x = np.array(w, dtype=np.longdouble)
+                found.append((-float((q * x).sum() / np.sqrt((q * q).sum()) / np.sqrt((x * x).sum())), j))
+        out.setdefault(i, []).append(sorted(found)[:k])
+    return out
+
+
+def test_lengths_repeated_ids_and_extreme_values(spark):
+    double = "vec_id long, embedding array<double>, label int"
+    rows = [(0, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (1, [1.0, 0.1], 0), (2, [1.0, 0.0, 0.0], 0), (50, [1.0, 1.0, 0.0], 0)]
+    found = ann.search(spark.createDataFrame(rows, double)).collect()
+    assert [(r["query_id"], r["rank"], r["vec_id"], round(r["score"], 3)) for r in sorted(found, key=tuple)] == [
+        (0, 1, 1, 0.995), (0, 2, 1, 0.0), (50, 1, 2, 0.707)]
+    rows = [(0, [1e-200, 0.0], 0), (1, [1.0, 0.0], 0), (2, [0.0, 1.0], 0), (50, [1e200, 1e200], 0), (3, [-1e300, 1e-300], 0), (4, [1e200], 0),
+            (100, [-1e-300], 0), (5, [2.0], 0), (0, [1e-200, 0.0], 0)]
+    found = ann.search(spark.createDataFrame(rows, double)).collect()
+    got = {}
+    for r in sorted(found, key=tuple):
+        got.setdefault(r["query_id"], []).append((-r["score"], r["vec_id"]))
+    for query, (near,) in exact(rows).items():
+        assert [j for _, j in got[query]] == [j for _, j in near] and np.allclose([s for s, _ in got[query]], [s for s, _ in near])
+
+
+def test_queries_short_of_hits_are_asked_again(spark, monkeypatch):
+    learn = ann.learn
+    monkeypatch.setattr(ann, "learn", lambda *a, **o: learn(*a, **o)._replace(radius=0))
+    rows = vectors(400, groups=20, seed=3)
+    found = ann.search(spark.createDataFrame(rows, SCHEMA)).collect()
+    truth = brute(rows)
+    assert {q: len([r for r in found if r["query_id"] == q]) for q in truth} == dict.fromkeys(truth, 5)
+
+
+def test_clustered_vectors_are_mostly_left_alone(spark):
+    """4000 clusters in 64 dimensions: the share of pairs that cosines are worked out for, over 8 blocks."""
+    rows = vectors(16_000, size=64, groups=1000, seed=5)
+    x = np.array([r[1] for r in rows], dtype=np.float64)
+    frame = spark.createDataFrame([(i, i, v.tolist()) for i, v in enumerate(x)], "row long, vec_id long, v array<double>")
+    codes = ann.learn(frame, len(rows), 64)
+    compared = asked = hits = 0
+    best = [[] for _ in range(0, 16_000, 400)]
+    for b in range(8):
+        ids = np.arange(b, 16_000, 8)
+        block = ann.Block(ids, x[ids], codes)
+        block.rows = block.ids
+        for n, q in enumerate(range(0, 16_000, 400)):
+            at, scores, _ = block.nearest(q, ann.evened(x[q : q + 1])[0], ann.encode(x[q : q + 1], codes.rotations)[0], 5)
+            best[n] += list(zip(-scores, block.ids[at]))
+        compared, asked = compared + block.compared, asked + 40 * len(ids)
+    for n, q in enumerate(range(0, 16_000, 400)):
+        scores = ann.unit(x) @ ann.unit(x[q : q + 1])[0]
+        scores[q] = -2
+        hits += len({int(i) for _, i in sorted(best[n])[:5]} & set(np.argsort(-scores)[:5].tolist()))
+    assert compared < 0.05 * asked and hits >= 0.95 * 200
