@@ -18,9 +18,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from laneflow.llm.base import held_out
+from laneflow.llm.base import held_out, ship_code, stored
 
 UNKNOWN = "und"
+FEW = 10  # sampled texts of a language below which each of their n-grams counts
 _GAP = np.uint64(0x20)
 
 
@@ -133,28 +134,38 @@ def learn(
 ) -> Filters:
     """Filters of the n-grams that at least `least_docs` sampled documents of a language have.
 
-    The sample is `per_language` documents per language, of at most `longest`
-    characters each, chosen by a hash of the text, among rows that are not held
-    out and have a language. These bounds hold at any size of the corpus. More
-    than `most_languages` languages, or none, is an error or an empty model.
+    The sample is `per_language` different texts per language, of longer ones a
+    window of `longest` characters, chosen by a hash of the text, among rows
+    that are not held out and have a language. These bounds hold at any size of
+    the corpus. Of a language with fewer than `FEW` sampled texts every n-gram
+    counts, so that none is left out for being rare. More than
+    `most_languages` languages, or none, is an error or an empty model.
     A rank in each language needs no more than its candidates: rows are first
-    thinned by hash to about four times the sample.
+    thinned by hash to somewhat more than the sample.
     """
+    ship_code(docs.sparkSession)
+    hashed = F.xxhash64(F.lit("sample"), "text")
+    start = F.when(F.length("text") > longest, F.pmod(hashed, F.length("text") - longest)).otherwise(F.lit(0)).cast("int") + 1
     rows = docs.where(F.col(lang_col).isNotNull() & ~held_out(F.col(id_col))).select(
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")
-    ).where((F.length("text") <= longest) & F.col("text").rlike(r"\p{L}"))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    ).where(F.col("text").rlike(r"\p{L}"))
+    # Copies of a text are drawn together, so chances go by different texts; their number is known to a few percent.
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct(hashed, 0.02).alias("n")).collect()}
     if len(counts) > most_languages:
         raise ValueError(f"{len(counts)} languages, more than {most_languages}")
     if not counts:
         return build({}, bits, hashes, sizes)
-    draw = F.pmod(F.xxhash64(F.lit("sample"), "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    draw = F.pmod(hashed, F.lit(1 << 30)) / F.lit(float(1 << 30))
     chance = F.create_map(*[
-        x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, (per_language + 4 * math.sqrt(per_language) + 16) / n)))
+        x for lang, n in counts.items()
+        for x in (F.lit(lang), F.lit(min(1.0, 1.2 * (per_language + 4 * math.sqrt(per_language) + 16) / max(n, 1))))
     ])
     drawn = rows.withColumn("u", draw).where(F.col("u") < F.element_at(chance, F.col("lang")))
-    rank = Window.partitionBy("lang").orderBy("u", F.xxhash64("text"))
-    sample = drawn.withColumn("k", F.row_number().over(rank)).where(F.col("k") <= per_language)
+    drawn = drawn.groupBy("lang", "u", hashed.alias("h")).agg(F.first(F.substring("text", start, F.lit(longest))).alias("text"))
+    rank = Window.partitionBy("lang").orderBy("u", "h")
+    sample = stored(drawn.withColumn("k", F.row_number().over(rank)).where(F.col("k") <= per_language), "language-sample")
+    few = [r["lang"] for r in sample.groupBy("lang").count().where(F.col("count") < FEW).collect()]
+    least = F.when(F.col("lang").isin(few), 1).otherwise(least_docs) if few else F.lit(least_docs)
 
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -164,7 +175,7 @@ def learn(
 
     known = (
         sample.select("lang", "text").mapInPandas(grams, "lang string, gram long")
-        .groupBy("lang", "gram").count().where(F.col("count") >= least_docs).select("lang", "gram").toPandas()
+        .groupBy("lang", "gram").count().where(F.col("count") >= least).select("lang", "gram").toPandas()
     )
     return build(
         {lang: g["gram"].to_numpy().view(np.uint64) for lang, g in known.groupby("lang")}, bits, hashes, sizes
@@ -179,6 +190,7 @@ def identify(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col
     corrected hits. Texts in none of the languages go to the first name with
     score 0. Repeated rows are each answered; other columns are ignored.
     """
+    ship_code(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(filters)  # fixed size: 2^bits slots
 
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -59,3 +59,36 @@ def test_grams_stay_within_words():
     assert one == set(language.ngram_hashes("CD, 12 (ab)", (3,)).tolist())
     assert len(one) == 4
     assert len(language.ngram_hashes("1 2 %", (3, 4))) == 0
+
+
+def test_no_language_with_a_document_to_learn_from_is_lost(documents, words):
+    ids = [i for i in range(400) if not kept_back(i)]
+    rows = [(ids[i], words(i, "the and ing").text(20), "xx") for i in range(8)]
+    rows += [(ids[20], words(50, "ung sch heit").text(30), "yy")]
+    rows += [(ids[30], words(60, "eau que le").text(30_000), "long")]  # longer than a window
+    rows += [(ids[40 + i], "zum bo zam bim bo", "copied") for i in range(200)]  # one text, many times
+    rows += [(ids[240], "quok quak quik", "copied")]
+    learned = language.learn(documents(rows), longest=5000)
+    assert set(learned.languages) == {"xx", "yy", "long", "copied"}
+    asked = [(1, words(51, "ung sch heit").text(9)), (2, words(61, "eau que le").text(9)), (3, "quok quik"), (4, words(3, "the and ing").text(9))]
+    found = {r["doc_id"]: r["lang_pred"] for r in language.identify(documents(asked), learned).collect()}
+    assert found == {1: "yy", 2: "long", 3: "copied", 4: "xx"}
+
+
+def test_decisions_follow_exact_gram_sets(words):
+    """What the filters answer, against the sets of n-grams that they stand for."""
+    sizes, own = (3, 4), {}
+    for k, (lang, parts) in enumerate(PARTS.items()):
+        texts = [words(100 * k + i, parts).text(40) for i in range(20)]
+        own[lang] = np.unique(np.concatenate([language.ngram_hashes(t, sizes) for t in texts]))
+    filters = language.build(own, 19, 2, sizes)
+    for k, parts in enumerate([*PARTS.values(), "the une ung", "xylo phon"]):
+        for i in range(20):
+            text = words(900 + 50 * k + i, parts).text(15)
+            grams = language.ngram_hashes(text, sizes)
+            truth = np.array([np.isin(grams, own[lang]).sum() for lang in filters.languages], dtype=float)
+            hits = language.count_hits(filters, grams)
+            assert np.abs(hits - truth).max() <= 0.02 * len(grams) + 2
+            lead = np.sort(truth)
+            if lead[-1] - lead[-2] > 0.05 * len(grams) + 4:
+                assert language.decide(filters, text)[0] == filters.languages[int(truth.argmax())]
