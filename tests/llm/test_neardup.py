@@ -114,3 +114,13 @@ def test_rows_are_kept_one_by_one_with_null_and_repeated_ids(documents):
     unlinked = [x for x in found if x[1] not in (n, n + " more")]
     assert unlinked == sorted([(3, t), (5, u), (3, v), (7, z), (8, ""), (0, "")])
     assert len(found) == len(unlinked) + 1
+
+
+def test_sets_of_one_id_are_linked(documents):
+    draw = random.Random(9)
+    a, b, c, d, e = (" ".join("x%d" % draw.randrange(10**6) for _ in range(30)) for _ in range(5))
+    rows = [(3, a), (5, a), (5, b), (9, b), (20, c), (21, d), (21, c), (30, e), (30, a + " end"), (2, e), (40, "alone here now or never")]
+    found = neardup.near_duplicates(documents(rows), words=4).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in found} == {
+        (3, 2), (5, 2), (9, 2), (20, 20), (21, 20), (30, 2), (2, 2), (40, 40)}
+    assert {r["doc_id"] for r in found if r["kept"]} == {2, 20, 40}
