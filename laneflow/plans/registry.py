@@ -45,7 +45,7 @@ from laneflow.schemas import (
     SITE_ROW_TAG,
     SPEED_ROW_TAG,
 )
-from laneflow.session import scratch_path, stored
+from laneflow.session import dealt, scratch_path, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -257,7 +257,7 @@ def field_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = table(spark, sf_dir, "documents").select("text")
-    return words.lines_of_texts(texts, "text")
+    return words.lines_of_texts(dealt(texts), "text")
 
 
 @query
@@ -279,7 +279,7 @@ def word_count_norm_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    xml = speed_xml_of_events(table(spark, sf_dir, "events"))
+    xml = speed_xml_of_events(dealt(table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type", "value")))
     return measurements.all_measurements(sources.parse_speed_xml(xml, "xml"))
 
 
@@ -303,7 +303,8 @@ def speed_xml_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _write_speed_xml(events: DataFrame, path: str, mode: str = "errorifexists", **options: str) -> None:
-    _write_xml(speed_elements_of_events(events), SPEED_ROW_TAG, path, mode, **options)
+    rows = dealt(events.select("event_id", "user_id", "ts", "event_type", "value"))
+    _write_xml(speed_elements_of_events(rows), SPEED_ROW_TAG, path, mode, **options)
 
 
 def _write_xml(elements: DataFrame, row_tag: str, path: str, mode: str = "errorifexists", **options: str) -> None:
@@ -322,7 +323,7 @@ def _write_xml(elements: DataFrame, row_tag: str, path: str, mode: str = "errori
 
 
 def _part_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    xml = site_xml_of_parts(table(spark, sf_dir, "part"))
+    xml = site_xml_of_parts(dealt(table(spark, sf_dir, "part")))
     return sites.site_records(sources.parse_site_xml(xml, "xml", order="record_no"))
 
 
@@ -340,7 +341,7 @@ def site_characteristics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def site_xml_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Site characteristics out of site XML files."""
     path = scratch_path(spark, "site-xml")
-    records = sources.parse_site_xml(site_xml_of_parts(table(spark, sf_dir, "part")), "xml")
+    records = sources.parse_site_xml(site_xml_of_parts(dealt(table(spark, sf_dir, "part"))), "xml")
     _write_xml(records, SITE_ROW_TAG, path)
     return sites.site_characteristics(sites.site_records(sources.read_site_xml(spark, path)))
 
@@ -455,7 +456,7 @@ def row_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def avg_token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = table(spark, sf_dir, "documents").select("text", "source")
+    texts = dealt(table(spark, sf_dir, "documents").select("text", "source"))
     lengths = profile.avg_token_lengths(texts, "text", "source")
     return lengths.select(*[F.round(name, 6).alias(name) for name in lengths.columns])
 
@@ -566,7 +567,7 @@ def ship_positions_json(spark: SparkSession, sf_dir: str) -> DataFrame:
         "DOUBLE": lambda name, i: F.col("value") + F.lit(float(i)),
         "STRING": lambda name, i: F.concat(F.lit(f"{name} "), F.col("event_id") % 7),
     }
-    table(spark, sf_dir, "events").select(
+    dealt(table(spark, sf_dir, "events").select("event_id", "value")).select(
         *[of_kind[kind](name, i).alias(name) for i, (name, kind) in enumerate(kinds.items())]
     ).write.json(path)
     return sources.read_ship_positions(spark, path)

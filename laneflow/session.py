@@ -70,3 +70,17 @@ def stored(rows: DataFrame, purpose: str) -> DataFrame:
     path = scratch_path(spark, purpose)
     rows.write.parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
+
+
+PARTITIONS = "spark.laneflow.partitions"
+
+
+def dealt(rows: DataFrame, partitions: int | None = None) -> DataFrame:
+    """`rows` dealt out anew over `partitions`, or as they were read.
+
+    A table of one Parquet row group is read by one task, however much work each
+    row takes afterwards. Whoever knows the tables and the cluster can say how many tasks shall share
+    it, here or for a session by `spark.laneflow.partitions`; nothing is dealt out unasked.
+    """
+    partitions = partitions or int(rows.sparkSession.conf.get(PARTITIONS, "0"))
+    return rows.repartition(partitions) if partitions else rows

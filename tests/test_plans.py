@@ -107,3 +107,17 @@ def test_hot_site_is_spread_by_salts_under_default_limits(spark, tmp_path):
 def test_speed_limit_plan_has_one_anti_join(spark):
     plan = plan_of(QUERIES["max_speed_lookup"](spark, FOLDER)).split("== Physical Plan ==")[1]
     assert plan.count("LeftAnti") == 1 and "LeftSemi" not in plan
+
+
+def test_rows_are_dealt_out_only_when_asked(spark):
+    from laneflow.session import PARTITIONS, dealt
+
+    rows = spark.range(10, numPartitions=1)
+    assert dealt(rows).rdd.getNumPartitions() == 1
+    assert dealt(rows, 3).rdd.getNumPartitions() == 3
+    spark.conf.set(PARTITIONS, "5")
+    try:
+        assert dealt(rows).rdd.getNumPartitions() == 5
+        assert QUERIES["word_count_ws"](spark, FOLDER).count() > 0
+    finally:
+        spark.conf.unset(PARTITIONS)
