@@ -415,4 +415,15 @@ SELECT strftime(date_trunc('month', ts), '%Y_%m_%d_%H_%M_%S') AS snapshot, head
        || ',' || coalesce(maxspeed, 'None') || ',' || coalesce("nrOfLanes", 'None') || ',' || coalesce("specificLane", 'None')
        || ',' || coalesce(period, 'None') || ',' || coalesce("vehicleClass", 'None') ELSE '' END AS value
 FROM core""",
+    # Whole multiples of 2^-60, added up as whole numbers and rounded once.
+    "exact_mean_speeds": """
+WITH s AS (
+  SELECT event_type, count(*) AS rows, count(*) FILTER (value <= 100) AS valid_rows,
+         sum(CAST(value * 1152921504606846976 AS HUGEINT)) FILTER (value <= 100) AS units
+  FROM events GROUP BY event_type
+), t AS (
+  SELECT *, ((units // 1099511627776)::DOUBLE * 1099511627776 + (units % 1099511627776)::DOUBLE) / 1152921504606846976 AS sum
+  FROM s
+)
+SELECT event_type, rows, valid_rows, sum, sum / rows AS mean_over_all, sum / nullif(valid_rows, 0) AS mean_over_valid FROM t""",
 }

@@ -11,6 +11,7 @@ from laneflow import sinks, sources, streaming
 from laneflow.functions import field_count, http_timestamp, snapshot_name
 from laneflow.operators import (
     compare,
+    exact,
     identity,
     jams,
     measurements,
@@ -422,6 +423,13 @@ def passthrough_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identity.unchanged(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query
+def exact_mean_speeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean speeds per type of event, values over 100 being invalid; exact sums, nothing rounded for comparison."""
+    speed = F.when(F.col("value") <= 100, F.col("value")).alias("speed")
+    return exact.exact_means(table(spark, sf_dir, "events").select("event_type", speed), "speed", "event_type")
+
+
 @query
 def preview_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
