@@ -1,10 +1,10 @@
 """Quality rules with risk-controlled cutoffs.
 
-Ratios of a text are held against cutoffs. On labelled documents, every cutoff
-of every rule and stratum is tested: is its chance to reject a good document
-above the risk allowed? An exact binomial test, corrected for all tests made,
-has to deny that before the cutoff may be used. Of the cutoffs proven safe a
-rule takes the one that rejects most bad documents at the least loss.
+Ratios of a text are held against cutoffs. One part of the labelled documents
+plans, for each stratum, in which steps the rules become stricter; the others
+prove how far they may go: after each step an exact binomial test has to deny
+that all rules together reject more good documents than allowed. Tests follow
+a sequence fixed beforehand, so only the strata have to share the error.
 """
 
 from __future__ import annotations
@@ -152,13 +152,80 @@ def choose(
     return chosen
 
 
+Levels = dict[tuple[int, ...], list[int]]
+
+
+def _rejected(levels: Levels, caps: list[int]) -> tuple[int, int]:
+    """Bad and good documents that exceed more cutoffs of some rule than it has caps for."""
+    bad = good = 0
+    for exceeded, (b, g) in levels.items():
+        if any(k > cap for k, cap in zip(exceeded, caps)):
+            bad, good = bad + b, good + g
+    return bad, good
+
+
+def sequence(levels: Levels, price: float) -> list[tuple[str, list[int]]]:
+    """Ever stricter caps, each step the tightening of one rule that is worth most on these documents.
+
+    A rule with cap c rejects what exceeds more than c of its cutoffs. A step is
+    worth the bad documents it newly rejects less `price` times the good ones;
+    it may take several cutoffs of its rule at once. The sequence ends where none is worth anything.
+    """
+    caps, steps = [len(cutoffs) for _, cutoffs in RULES.values()], []
+    while True:
+        bad, good = _rejected(levels, caps)
+        found = []
+        for r, rule in enumerate(RULES):
+            for cap in range(caps[r]):
+                more = _rejected(levels, [*caps[:r], cap, *caps[r + 1 :]])
+                worth = more[0] - bad - price * (more[1] - good)
+                if worth > 0:
+                    found.append((worth, cap, -r, rule))
+        if not found:
+            return steps
+        _, cap, r, rule = max(found)
+        caps = [*caps[:-r], cap, *caps[1 - r :]]
+        steps.append((rule, caps))
+
+
+def choose_sequences(
+    planned: dict[str, Levels], proving: dict[str, Levels], risk: float, error: float, price: float
+) -> list[Cutoff]:
+    """The cutoffs of each stratum, proven together by fixed-sequence testing.
+
+    Steps and their order come from the documents `planned`, the proof from
+    others. In a stratum the steps are tested one after the other, up to the
+    first that fails: that all rules together reject more than `risk` of the
+    good documents has to be denied by the exact binomial test at the level error / strata. As the
+    order is fixed beforehand, only the strata share the error: with
+    probability 1 - error no stratum loses more than `risk` of its good documents.
+    With s strata, a step that rejects no good document needs ln(s / error) / -ln(1 - risk) of them: 86 for four.
+    """
+    strata = sorted({*planned, *proving})
+    chosen = []
+    for stratum in strata:
+        levels = proving.get(stratum, {})
+        good = sum(g for _, g in levels.values())
+        last: dict[str, Cutoff] = {}
+        for rule, caps in sequence(planned.get(stratum, {}), price):
+            bad_out, good_out = _rejected(levels, caps)
+            p = binomial_cdf(good_out, good, risk) if good else 1.0
+            if p > error / len(strata):
+                break
+            place = list(RULES).index(rule)
+            last[rule] = Cutoff(stratum, rule, RULES[rule][1][caps[place]], good, good_out, bad_out, p)
+        chosen += [last[rule] for rule in RULES if rule in last]
+    return chosen
+
+
 def learn(
     measured: DataFrame, labels: DataFrame, risk: float = 0.05, error: float = 0.05, price: float = 20.0
 ) -> list[Cutoff]:
     """Cutoffs from all labelled rows that pass the base rules and are not kept back for checking a model.
 
-    Only counts by stratum, rule and cutoffs exceeded reach the driver. Null
-    labels and ids with both labels are left out.
+    A third of the labelled ids, by a hash, plans the steps, the others prove
+    them. Only counts by stratum and by how many cutoffs of each rule a document exceeds reach the
+    driver, which the grid of the rules bounds. Null labels and ids with both labels are left out.
     """
     marks = (
         labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
@@ -167,22 +234,19 @@ def learn(
         .where("_low = _high")
     )
     exceeded = F.array(*[
-        F.struct(
-            F.lit(rule).alias("rule"),
-            sum((F.coalesce(F.expr(value) > c, F.lit(False)).cast("int") for c in cutoffs), F.lit(0)).alias("k"),
-        )
-        for rule, (value, cutoffs) in RULES.items()
+        sum((F.coalesce(F.expr(value) > c, F.lit(False)).cast("int") for c in cutoffs), F.lit(0)) for value, cutoffs in RULES.values()
     ])
+    plans = F.pmod(F.xxhash64(F.lit("plan"), F.col("_id").cast("string")), F.lit(3)) == 0
     found = (
         measured.where(~F.col("base_failed"))
         .join(marks, F.col("doc_id") == F.col("_id"))
-        .select("stratum", "_low", F.inline(exceeded))
-        .groupBy("stratum", "rule", "k").pivot("_low", [0, 1]).count().na.fill(0).collect()
+        .select("stratum", "_low", plans.alias("plans"), exceeded.alias("exceeded"))
+        .groupBy("stratum", "plans", "exceeded").pivot("_low", [0, 1]).count().na.fill(0).collect()
     )
-    counts: dict[tuple[str, str], dict[int, list[int]]] = {}
+    parts: dict[bool, dict[str, Levels]] = {True: {}, False: {}}
     for r in found:
-        counts.setdefault((r["stratum"], r["rule"]), {})[r["k"]] = [r["0"], r["1"]]
-    return choose(counts, risk, error, price)
+        parts[r["plans"]].setdefault(r["stratum"], {})[tuple(r["exceeded"])] = [r["0"], r["1"]]
+    return choose_sequences(parts[True], parts[False], risk, error, price)
 
 
 def judge(
@@ -207,12 +271,20 @@ def judge(
         *[c.alias(name) for name, c in measures(F.col(text_col)).items()],
     )
     measured = stored(measured.withColumn("base_failed", base_failed()), "rules")
-    cutoffs = learn(measured, labels, **options)
-    fails = [
-        F.when((F.col("stratum") == c.stratum) & F.coalesce(F.expr(RULES[c.rule][0]) > c.cutoff, F.lit(False)), c.rule)
-        for c in cutoffs
-    ]
-    failed = F.filter(F.array(*fails), lambda r: r.isNotNull()) if fails else F.array().cast("array<string>")
-    return measured.withColumn("failed_rules", failed).withColumn(
+    limits: dict[str, dict[str, float]] = {}
+    for c in learn(measured, labels, **options):
+        limits.setdefault(c.stratum, {})[c.rule] = c.cutoff
+    # A row per stratum; a rule without a cutoff has none that anything is above. Without any, the row is for no stratum.
+    row = lambda name, own: F.struct(
+        F.lit(name).cast("string").alias("_stratum"), F.array(*[F.lit(own.get(rule)).cast("double") for rule in RULES]).alias("_limits")
+    )
+    known = docs.sparkSession.range(1).select(F.inline(F.array(*[row(*x) for x in limits.items()] or [row(None, {})])))
+    fails = F.array(*[
+        F.when(F.coalesce(F.expr(value) > F.get("_limits", F.lit(i)), F.lit(False)), rule)
+        for i, (rule, (value, _)) in enumerate(RULES.items())
+    ])
+    judged = measured.join(known, F.col("stratum") == F.col("_stratum"), "left")
+    failed = F.filter(fails, lambda r: r.isNotNull())
+    return judged.withColumn("failed_rules", failed).drop("_stratum", "_limits").withColumn(
         "kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)
     )

@@ -76,3 +76,54 @@ def test_rejection_of_good_documents_is_bounded_and_bad_ones_go(spark, documents
     bad = [kept[i] for i, q, _ in labels if not q]
     assert sum(good) >= 0.95 * len(good)
     assert not any(bad)
+
+
+def worst(levels, caps):
+    return sum(g for k, (_, g) in levels.items() if any(a > b for a, b in zip(k, caps)))
+
+
+def test_steps_are_proven_on_other_documents_one_after_the_other():
+    n = len(rules.RULES)
+    none, one, two = (0,) * n, (9,) + (0,) * (n - 1), (0, 7) + (0,) * (n - 2)
+    plan = {none: [0, 200], one: [30, 0], two: [20, 0]}
+    steps = rules.sequence(plan, 20.0)
+    assert [rule for rule, _ in steps] == ["symbols_per_word", "repeated_words"]
+    assert all(worst(plan, caps) == 0 for _, caps in steps)
+    enough = rules.choose_sequences({"en": plan}, {"en": {none: [0, 59], one: [5, 0], two: [5, 0]}}, 0.05, 0.05, 20.0)
+    assert {c.rule: c.cutoff for c in enough} == {"symbols_per_word": 0.7, "repeated_words": 0.4}
+    assert rules.choose_sequences({"en": plan}, {"en": {none: [0, 58], one: [5, 0]}}, 0.05, 0.05, 20.0) == []
+    # The second step loses good documents where it is proven: only the first stays, and its own rejections alone count.
+    lossy = rules.choose_sequences({"en": plan}, {"en": {none: [0, 190], two: [5, 10]}}, 0.05, 0.05, 20.0)
+    assert [c.rule for c in lossy] == ["symbols_per_word"]
+    strata = {f"s{i}": plan for i in range(4)}
+    for good, found in ((85, 0), (86, 8)):
+        proving = {s: {none: [0, good]} for s in strata}
+        assert len(rules.choose_sequences(strata, proving, 0.05, 0.05, 20.0)) == found
+
+
+def test_the_error_rate_holds_in_simulation():
+    """Good documents that a rule hits a little more often than allowed: it may pass as safe in one of twenty trials."""
+    import random
+
+    n, draw, wrong, trials = len(rules.RULES), random.Random(3), 0, 400
+    none, hit = (0,) * n, (9,) + (0,) * (n - 1)
+    plan = {"en": {none: [0, 300], hit: [50, 0]}}
+    for _ in range(trials):
+        lost = sum(draw.random() < 0.051 for _ in range(300))
+        wrong += bool(rules.choose_sequences(plan, {"en": {none: [0, 300 - lost], hit: [50, lost]}}, 0.05, 0.05, 20.0))
+    assert wrong <= 0.05 * trials + 3 * math.sqrt(0.05 * 0.95 * trials)
+
+
+def test_a_few_hundred_labels_are_enough(spark, documents, words):
+    rows, labels = [], []
+    for i in range(480):
+        w = words(i)
+        bad = i % 4 == 0
+        text = " ".join(w.word() + ("%%" if bad else "") for _ in range(60))
+        rows.append((i, text, ["en", None][i // 4 % 2]))
+        labels.append((i, int(not bad), 0))
+    found = rules.judge(documents(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    kept = {r["doc_id"]: r["kept"] for r in found}
+    assert all(kept[i] for i, q, _ in labels if q)
+    assert not any(kept[i] for i, q, _ in labels if not q)
+    assert {tuple(r["failed_rules"]) for r in found if not r["kept"]} == {("symbols_per_word",)}
