@@ -98,10 +98,9 @@ NOTICES = {
 }
 
 # What follows `copyright` where a licence's own sentence is broken before it, unless a year or a mark comes after.
-_PROSE = (
-    r"(?:notices?|holders?|owners?|laws?|licen[sc]es?|statements?|permission|interest|disclaimer)\b"
-    r"(?![^\n]*(?:\b[12][0-9]{3}\b|\(c\)|©))"
-)
+_GOES_ON = r"(?:notices?|holders?|owners?|laws?|licen[sc]es?|statements?|permission|interest|disclaimer)\b"
+_MARK = r"(?:\b[12][0-9]{3}\b|\(c\)|©)"
+_PROSE = rf"{_GOES_ON}(?![^\n]*{_MARK})"
 
 
 def canonical(text: Column) -> Column:
@@ -175,13 +174,19 @@ def scan(
 def oracle_sql() -> str:
     """The same over `documents`, in the SQL the results are checked with."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
+    # The rule for copyright lines without look-ahead, which its patterns do not have: line by line.
+    is_ = lambda pattern: f"regexp_matches(l, {quote(r'^[^a-z0-9]*' + pattern)})"
+    dropped = (
+        is_(r"(\(c\)|©|all rights reserved)") + " OR " + is_(r"copyright[ \t]+[^ \t\r]") + " AND NOT ("
+        + is_(rf"copyright[ \t]+{_GOES_ON}") + " AND NOT " + is_(rf"copyright[ \t]+{_GOES_ON}.*{_MARK}") + ")"
+    )
     macro = (
-        "list_transform(string_split(trim(regexp_replace(regexp_replace(lower(TEXT), "
-        "'(?m)^[^a-z0-9\\n]*(copyright[ \\t]|\\(c\\)|©|all rights reserved)[^\\n]*$', ' ', 'g'), "
+        "list_transform(string_split(trim(regexp_replace(array_to_string(list_filter(string_split(lower(TEXT), chr(10)), "
+        f"lambda l: NOT ({dropped})), ' '), "
         "'[^a-z0-9]+', ' ', 'g')), ' '), lambda w: coalesce(map_extract(MAP {"
         + ", ".join(f"{quote(a)}: {quote(b)}" for a, b in SPELLINGS.items())
         + "}, w)[1], w))"
-    ).replace("\\\\", "\\")
+    )
     dig = lambda t: f"sha256(array_to_string({macro.replace('TEXT', t)}, ' '))"
     known = lambda table: (
         "SELECT d, string_agg(DISTINCT licence, ',' ORDER BY licence) AS known_as FROM (SELECT licence, "

@@ -49,3 +49,26 @@ def test_line_breaks_do_not_count(spark, documents):
     assert any(line.lower().startswith("copyright notice") for _, t in texts for line in t.split("\n"))
     found = {r["doc_id"]: r["licence"] for r in scan(spark, documents([(i, t) for i, (_, t) in enumerate(texts)])).collect()}
     assert [found[i] for i in range(len(texts))] == [name for name, _ in texts]
+
+
+def test_sql_of_the_same_rule(spark, documents, tmp_path):
+    import textwrap
+
+    import duckdb
+
+    broken = lambda text, w: "\n\n".join(textwrap.fill(p, w) for p in text.split("\n\n"))
+    wrapped = [broken(text, w) for text in licences.LICENCES.values() for w in (35, 48, 61, 77)]
+    lines = [
+        "copyright notice", "Copyright holders 2010", "copyright\tholder (c) x", "copyright  ", "copyright", "-- copyright x", "© copyright notice",
+        "(c) notice", "* (C) 2020", "all rights reserved.", "x all rights reserved", "copyrights 2010", "copyright laws of 1999b", "copyright owner ©",
+        "copyright licences apply\r", "COPYRIGHT\r", "  copyright noticed 3", "copyright interests", "licence copyright 2010",
+    ]
+    texts = [*wrapped, *licences.LICENCES.values(), *licences.NOTICES.values(), None, "", "\n\n", *lines]
+    texts += ["\n".join([a, "Released under the MIT licence", b]) for a, b in zip(lines, lines[3:])]
+    documents([(i, t) for i, t in enumerate(texts)]).write.parquet(str(tmp_path / "d"))
+    frame = spark.read.parquet(str(tmp_path / "d"))
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/d/*.parquet')")
+    want = sorted(connection.execute(licences.oracle_sql()).fetchall(), key=str)
+    assert sorted((tuple(r) for r in scan(spark, frame).collect()), key=str) == want
+    assert sum(r[2] is not None for r in want) >= 28
