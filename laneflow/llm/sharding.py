@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from laneflow.llm.base import stored, text_bytes
 
 LAW = "bytes"
+PREFIX = 12  # bytes of a text that its key begins with
 
 
 def quantiles(keys: Iterable[str], ranges: int) -> list[str]:
@@ -64,8 +65,10 @@ def shard(
     text_crc32 (of no bytes if the text is null), law (`bytes`), shard, slot
     (gapless from 0 within the shard), grown_shard (null under this law).
 
-    The key of a row is the hash of its text, then of its id and place in the
-    scan: copies of one text stand side by side and share a shard unless a
+    The key of a row is how its text begins, then the hash of the text, then
+    that of its id and place in the scan. Shards are ranges of it: texts that
+    begin alike are near each other, and how frequent a beginning is only the
+    sample tells. Copies of one text share a shard unless a
     shard's end falls within them, and a text that makes up much of the table
     is still cut into as many ranges as it needs. A shard is off its exact
     share by at most one document, so a text above 1/24 of all bytes, being
@@ -83,7 +86,11 @@ def shard(
             F.col(id_col).alias("doc_id"),
             (text_bytes(text) + 8).alias("size"),
             F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
-            F.concat(F.lpad(F.hex(F.xxhash64(text)), 16, "0"), F.lpad(F.hex(place), 16, "0")).alias("_key"),
+            F.concat(
+                F.rpad(F.hex(F.substring(F.coalesce(text, F.lit("")).cast("binary"), 1, PREFIX)), 2 * PREFIX, "0"),
+                F.lpad(F.hex(F.xxhash64(text)), 16, "0"),
+                F.lpad(F.hex(place), 16, "0"),
+            ).alias("_key"),
         ),
         "shard-keys",
     )
