@@ -18,12 +18,16 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import tiktoken
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from laneflow.llm.base import ship_code
+
 END_ID = 1
 CUT = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+DEAL = "deal long"  # 0 for the first of equal pieces in a task, else a number of its own
 
 
 def best_window(counts: dict[int, int], capacity: int) -> list[tuple[int, int]]:
@@ -119,20 +123,24 @@ def cut_documents(docs: DataFrame, path: str, capacity: int, id_col: str, text_c
     """Pieces of at most `capacity` ids: whole windows, then the rest. The end id 1 follows each document."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(path)
+        encode, task = encoder(path), TaskContext.get().partitionId()
+        seen: Counter = Counter()
         for batch in batches:
             out: list[tuple] = []
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
                 ids = np.array([*encode(text or ""), END_ID], dtype="<u4")
                 for start in range(0, len(ids), capacity):
                     piece = ids[start : start + capacity]
-                    out.append((doc_id, start, len(piece), zlib.crc32(piece.tobytes()), len(ids)))
-            frame = pd.DataFrame(out, columns=[c.split()[0] for c in CUT.split(", ")])
+                    crc = zlib.crc32(piece.tobytes())
+                    copy = seen[hash((str(doc_id), start, crc))]
+                    seen[hash((str(doc_id), start, crc))] += 1
+                    out.append((doc_id, start, len(piece), crc, len(ids), copy and (task << 32) + copy))
+            frame = pd.DataFrame(out, columns=[c.split()[0] for c in f"{CUT}, {DEAL}".split(", ")])
             frame["doc_id"] = frame["doc_id"].astype("Int64")
             yield frame
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInPandas(cut, CUT)
+    return rows.mapInPandas(cut, f"{CUT}, {DEAL}")
 
 
 def pack(
@@ -151,13 +159,14 @@ def pack(
     one window or two with room. Sequence ids are unique, not gapless.
 
     Null and empty texts are the end id alone. Repeated ids and rows are
-    separate documents; null ids are kept. An empty table gives an empty
+    separate documents, and the repeats that a task meets are dealt out one by one; null ids are kept. An empty table gives an empty
     result; other columns are ignored. Equal lengths are placed in the order of
     (doc_id, start, crc).
     """
+    ship_code(docs.sparkSession)
     groups = max(1, -(-docs.count() // group_pieces))
     pieces = cut_documents(docs, tokenizer_path, capacity, id_col, text_col).withColumn(
-        "pack_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)).cast("int")
+        "pack_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "deal"), F.lit(groups)).cast("int")
     )
     schema = CUT + ", sequence_id long, offset long"
 
@@ -173,6 +182,6 @@ def pack(
                 at += lengths[i]
         frame["sequence_id"], frame["offset"] = sequence, offset
         frame["doc_id"] = frame["doc_id"].astype("Int64")
-        return frame.drop(columns="pack_group")
+        return frame.drop(columns=["pack_group", "deal"])
 
     return pieces.groupBy("pack_group").applyInPandas(place, schema)

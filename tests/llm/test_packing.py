@@ -67,3 +67,13 @@ def test_pieces_hold_every_id_once(documents, words):
             at += length
         assert at <= 2048
     assert packing.pack(documents([]), PATH).collect() == []
+
+
+def test_repeats_of_a_row_are_dealt_out(spark, documents, words):
+    w = words(6)
+    rows = [(i, w.text(20)) for i in range(600)] + [(1000, "the same row again")] * 300  # a third of all rows
+    pieces = packing.cut_documents(documents(rows).coalesce(1), PATH, 2048, "doc_id", "text")
+    deals = [r["deal"] for r in pieces.where("doc_id = 1000").collect()]
+    assert len(set(deals)) == 300 and deals.count(0) == 1
+    assert {r["deal"] for r in pieces.where("doc_id < 1000").collect()} == {0}
+    assert sum(r["length"] for r in packing.pack(documents(rows), PATH, group_pieces=50).where("doc_id = 1000").collect()) % 300 == 0
