@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from laneflow.llm.base import fresh, rows_per_batch, stored
+from laneflow.llm.base import fresh, rows_per_batch, ship_code, stored
 
 FIRST, FIRST_HASHES = 10, 2
 SECOND, SECOND_HASHES = 14, 3
@@ -454,6 +454,7 @@ def near_duplicates(
     Equal sets are one node, found by a map-side aggregate, so a third of all
     rows being copies of one text costs no shuffle of them.
     """
+    ship_code(docs.sparkSession)
     with rows_per_batch(docs.sparkSession, BATCH_ROWS):
         rows = stored(described(docs, words, id_col, text_col), "described")
         threshold = percent / 100

@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from laneflow.llm.base import fresh, held_out
+from laneflow.llm.base import fresh, held_out, ship_code
 
 THRESHOLD = 0.7
 LEVEL = 3
@@ -146,6 +146,7 @@ def learn(
 
 def with_score(docs: DataFrame, model: Model, score_col: str = "score", text_col: str = "text") -> DataFrame:
     """`docs` with the calibrated score of each whole text, 0 to 1; null and empty texts score as a difference of 0."""
+    ship_code(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few dictionaries of fixed size
 
     @F.pandas_udf("double")
