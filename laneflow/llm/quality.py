@@ -170,6 +170,11 @@ def classify(
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of `docs`, in its columns, whose score is at least `threshold`."""
+    """The rows of `docs`, in its columns, whose score is at least `threshold`.
+
+    Every row is judged by its own text, so repeated rows stay or go together; null and empty texts score as a
+    difference of 0, a score equal to the threshold stays, ids and other columns do not matter, and an empty table
+    gives an empty result.
+    """
     name = fresh(docs, "_quality_score")
     return with_score(docs, model, name).where(F.col(name) >= threshold).drop(name)

@@ -296,7 +296,13 @@ def masked(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 
 
 def mask(docs: DataFrame, models: Models, text_col: str = "text") -> DataFrame:
-    """`docs`, in its columns, with its secrets masked; `n_chars`, where it is a column, follows the text."""
+    """`docs`, in its columns, with its secrets masked; `n_chars`, where it is a column, follows the text.
+
+    Every row stays: null and empty texts as they are, repeated rows each with
+    the same masks, whatever their ids. Spans that overlap or touch the same
+    place are one mask. Whole texts are masked, however long. Other columns pass
+    unchanged, and an empty table gives an empty result.
+    """
     spans = fresh(docs, "_secret_spans")
     found = scan(docs, models, text_col, spans)
     text = fresh(found, "_masked")
