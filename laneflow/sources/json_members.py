@@ -37,7 +37,7 @@ def running_before(rows: DataFrame, value: str, out: str) -> DataFrame:
     )
 
 
-def _pieces(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def _pieces(spark: SparkSession, path: str | list[str], files: DataFrame | None) -> DataFrame:
     """Texts up to each closing brace, with what they hold.
 
     `quotes` are those that begin or end a string; `opened_outside` and
@@ -45,7 +45,15 @@ def _pieces(spark: SparkSession, path: str | list[str]) -> DataFrame:
     closes, if the piece begins outside or inside of a string. Escapes never reach into the next piece: no
     escape ends with a brace.
     """
-    read = spark.read.option("lineSep", "}").text(path)
+    read = spark.read.option("lineSep", "}").text(path).select(
+        F.col("_metadata.file_path").alias("file_path"),
+        F.col("_metadata.file_block_start").alias("split_start"),
+        F.col("_metadata.file_size").alias("file_size"),
+        F.monotonically_increasing_id().alias("line"),
+        "value",
+    )
+    if files is not None:
+        read = read.join(files, "file_path", "left_semi")
     bare = F.regexp_replace("value", r"(?s)\\.", "")
     strings = r'"[^"]*("|\z)'
 
@@ -54,11 +62,7 @@ def _pieces(spark: SparkSession, path: str | list[str]) -> DataFrame:
         return F.length(marks) - 2 * F.length(F.regexp_replace(marks, r"[^\]]", ""))
 
     return read.select(
-        F.col("_metadata.file_path").alias("file_path"),
-        F.col("_metadata.file_block_start").alias("split_start"),
-        F.col("_metadata.file_size").alias("file_size"),
-        F.monotonically_increasing_id().alias("line"),
-        "value",
+        "*",
         F.length(F.regexp_replace(bare, r'[^"]', "")).alias("quotes"),
         opened(bare).alias("opened_outside"),
         opened(F.regexp_replace(bare, r'^[^"]*("|\z)', "")).alias("opened_inside"),
@@ -90,16 +94,17 @@ def _fail_if_unfinished(deep: DataFrame) -> None:
         raise ValueError(f"MALFORMED: unfinished JSON in {[r['file_path'] for r in bad]}")
 
 
-def read_object_members(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def read_object_members(spark: SparkSession, path: str | list[str], files: DataFrame | None = None) -> DataFrame:
     """`file_path` and `value`: the members of the JSON objects in files, each as an object of its own.
 
     A file holds one object or several one after the other, in any layout. A
     member is cut where the object that is its value ends; members with other
     values come with the next one that has an object, or with the last. Texts
     that are no such sequence fail: here if braces or quotes do not match, else
-    where the members are parsed.
+    where the members are parsed. `files` names, as `file_path`, the only files
+    that are looked at, else all of `path` are.
     """
-    deep = stored(_with_depth(stored(_pieces(spark, path), "json-pieces")), "json-pieces")
+    deep = stored(_with_depth(stored(_pieces(spark, path, files), "json-pieces")), "json-pieces")
     _fail_if_unfinished(deep)
     after = F.col("depth") + F.col("change")
     numbered = running_before(deep.withColumn("ends", (F.col("closes") & (after <= 1)).cast("int")), "ends", "member")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from laneflow.schemas import CHARACTERISTICS, SITE_DICTIONARY_SCHEMA, SITE_FIELDS
+from laneflow.session import stored
 from laneflow.sources.json_members import read_object_members
 from laneflow.sources.lines import read_positioned_lines
 
@@ -25,10 +26,10 @@ def read_site_dictionary(spark: SparkSession, path: str | list[str]) -> DataFram
     dictionary without any text fail.
     """
     lines = read_positioned_lines(spark, path)
-    files = lines.groupBy("file_path").agg(
+    files = stored(lines.groupBy("file_path").agg(
         F.bool_or(F.col("value").rlike(r"\S")).alias("filled"),
         F.bool_and(F.col("value").rlike(_BY_LINE)).alias("by_line"),
-    )
+    ), "dictionary-files")
     layouts = {r["by_line"] for r in files.where("filled").select("by_line").distinct().collect()}
     if not layouts:
         raise ValueError(f"no site dictionary in {path}")
@@ -38,12 +39,13 @@ def read_site_dictionary(spark: SparkSession, path: str | list[str]) -> DataFram
         members = lines.where(F.col("value").startswith('"')).select(
             "file_path", F.concat(F.lit("{"), entry, F.lit("}")).alias("value")
         )
-        found.append((members, "by_line"))
+        if False in layouts:
+            members = members.join(files.where("by_line"), "file_path", "left_semi")
+        found.append(members)
     if False in layouts:
-        found.append((read_object_members(spark, path), "not by_line"))
-    if len(found) > 1:  # each file is read by one of the two
-        found = [(members.join(files.where(f"filled and {own}"), "file_path", "left_semi"), own) for members, own in found]
-    text = reduce(DataFrame.unionByName, [members.select("value") for members, _ in found])
+        # Files that make up an object together are unfinished by themselves: none of them is looked at here.
+        found.append(read_object_members(spark, path, files.where("not by_line")))
+    text = reduce(DataFrame.unionByName, [members.select("value") for members in found])
     parsed = F.from_json("value", SITE_DICTIONARY_SCHEMA, {"mode": "FAILFAST"})
     entries = text.select(F.explode(parsed).alias("site_id", "site"))
     return entries.select(

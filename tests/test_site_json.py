@@ -94,6 +94,15 @@ def test_the_sites_of_the_second_layout_are_not_lost(spark, write):
     assert sources.read_site_dictionary(spark, one).count() == 2
 
 
+def test_an_object_over_several_files_is_read_beside_another_layout(spark, write):
+    entry = json.dumps({**{n: "x" for n in SITE_FIELDS}, CHARACTERISTICS: {}})
+    path = write({
+        "part-0.json": '{\n"a":' + entry + ",\n", "part-1.json": '"b":' + entry + ",\n", "part-2.json": '"c":' + entry + "\n}\n",
+        "whole.json": '{"d":' + entry + ', "e":' + entry + "}",
+    })
+    assert sources.read_site_dictionary(spark, path).count() == 5
+
+
 GOOD = '{"measurementSiteId": "x", "latitude": "1"}'
 
 
