@@ -46,7 +46,7 @@ from laneflow.schemas import (
     SITE_ROW_TAG,
     SPEED_ROW_TAG,
 )
-from laneflow.session import dealt, scratch_path, stored
+from laneflow.session import dealt, scratch_path, spread, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -304,7 +304,7 @@ def speed_xml_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _write_speed_xml(events: DataFrame, path: str, mode: str = "errorifexists", **options: str) -> None:
-    rows = dealt(events.select("event_id", "user_id", "ts", "event_type", "value"))
+    rows = spread(events.select("event_id", "user_id", "ts", "event_type", "value"))
     _write_xml(speed_elements_of_events(rows), SPEED_ROW_TAG, path, mode, **options)
 
 
@@ -324,7 +324,7 @@ def _write_xml(elements: DataFrame, row_tag: str, path: str, mode: str = "errori
 
 
 def _part_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    xml = site_xml_of_parts(dealt(table(spark, sf_dir, "part")))
+    xml = site_xml_of_parts(spread(table(spark, sf_dir, "part")))
     return sites.site_records(sources.parse_site_xml(xml, "xml", order="record_no"))
 
 
@@ -342,7 +342,7 @@ def site_characteristics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def site_xml_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Site characteristics out of site XML files."""
     path = scratch_path(spark, "site-xml")
-    records = sources.parse_site_xml(site_xml_of_parts(dealt(table(spark, sf_dir, "part"))), "xml")
+    records = sources.parse_site_xml(site_xml_of_parts(spread(table(spark, sf_dir, "part"))), "xml")
     _write_xml(records, SITE_ROW_TAG, path)
     return sites.site_characteristics(sites.site_records(sources.read_site_xml(spark, path)))
 

@@ -121,3 +121,24 @@ def test_rows_are_dealt_out_only_when_asked(spark):
         assert QUERIES["word_count_ws"](spark, FOLDER).count() > 0
     finally:
         spark.conf.unset(PARTITIONS)
+
+
+def test_a_single_row_group_is_parsed_and_written_as_xml_by_many_tasks(spark, tmp_path):
+    from laneflow.plans.registry import _write_speed_xml
+
+    folder = str(tmp_path / "tables")
+    parts = spark.range(400).select(
+        F.col("id").alias("p_partkey"), F.lit("ring").alias("p_name"), F.lit(7).alias("p_size"), F.lit(9.5).alias("p_retailprice")
+    )
+    parts.coalesce(1).write.parquet(f"{folder}/part.parquet")
+    assert "RoundRobinPartitioning" in plan_of(QUERIES["site_characteristics"](spark, folder))
+    assert QUERIES["site_characteristics"](spark, folder).count() == 1200
+
+    events = spark.range(400).select(
+        F.col("id").alias("event_id"), F.col("id").alias("user_id"), F.timestamp_seconds("id").alias("ts"),
+        F.lit("view").alias("event_type"), F.lit(1.5).alias("value"),
+    )
+    _write_speed_xml(events.coalesce(1), str(tmp_path / "xml"))
+    files = list((tmp_path / "xml").glob("part-*"))
+    assert len(files) >= spark.sparkContext.defaultParallelism
+    assert sum(file.read_text().count("<siteMeasurements ") for file in files) == 400
