@@ -12,7 +12,7 @@ from laneflow.operators import profile
 from laneflow.plans.registry import _enriched, _event_measurements, _shown, _span, _write_speed_xml, query
 from laneflow.plans.tables import EVENT_JAMS, table
 from laneflow.schemas import FLOW_TYPE, SPEED_TYPE
-from laneflow.session import scratch_path
+from laneflow.session import scratch_path, stored
 
 
 def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -153,7 +153,7 @@ def snapshot_csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of 13 or 5 fields in a folder per snapshot, here a month, written twice."""
     path = scratch_path(spark, "snapshot-lines")
     month = F.date_trunc("month", F.to_timestamp("measurementTime"))
-    rows = _enriched(spark, sf_dir).withColumn("month", month)
+    rows = stored(_enriched(spark, sf_dir).withColumn("month", month), "enriched")
     for _ in range(2):
         sinks.write_snapshots(rows, path, "month", file_format="csv")
     read = spark.read.option("basePath", path).text(path)
