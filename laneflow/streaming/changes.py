@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,18 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 _ROW, _MARK = "_row", "_mark"
 
 
+def _order(arrivals: pd.DataFrame, places: list[str]) -> np.ndarray:
+    """Positions of the arrivals in order, missing values last.
+
+    There are many feeds with few arrivals each: for numbers and times, sorting the
+    bare arrays takes a tenth of the time of sorting a DataFrame.
+    """
+    values = [arrivals[place].to_numpy() for place in places]
+    if all(v.dtype.kind in "iufM" for v in values):
+        return np.lexsort(values[::-1])
+    return arrivals[places].reset_index(drop=True).sort_values(places, kind="stable").index.to_numpy()
+
+
 def changed_arrivals(
     stream: DataFrame, feed: str, order: list[str], modified: str
 ) -> DataFrame:
@@ -39,15 +52,17 @@ def changed_arrivals(
     places = [f"_order{i}" for i in range(len(order))]
 
     def keep(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        arrivals = pd.concat(list(chunks), ignore_index=True).sort_values(places, kind="stable")
-        marks = [None if pd.isna(m) else m for m in arrivals[_MARK]]
+        chunks = list(chunks)
+        arrivals = chunks[0] if len(chunks) == 1 else pd.concat(chunks, ignore_index=True)
+        at = _order(arrivals, places)
+        marks = [None if pd.isna(m) else m for m in arrivals[_MARK].to_numpy(dtype=object)[at]]
         known, last = (True, state.get[0]) if state.exists else (False, None)
         new = []
         for mark in marks:
             new.append(not known or mark != last)
             known, last = True, mark
         state.update((last,))
-        yield arrivals.loc[new, [_ROW]]
+        yield pd.DataFrame({_ROW: arrivals[_ROW].to_numpy(dtype=object)[at][new]})
 
     kept = packed.groupBy("_feed").applyInPandasWithState(
         keep, f"{_ROW} string", "mark string", "append", GroupStateTimeout.NoTimeout

@@ -1,10 +1,12 @@
 import shutil
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from laneflow import sinks, sources, streaming
 from laneflow.session import scratch_path
+from laneflow.streaming import changes
 from tests.test_xml import SPEEDS
 
 ARRIVALS = "feed string, at int, mark string, note long"
@@ -38,6 +40,14 @@ def test_an_arrival_like_the_one_before_is_skipped(spark, places):
     assert changed(spark, *places) == got
 
 
+def test_arrivals_in_order_without_sorting_a_table(monkeypatch):
+    rows = pd.DataFrame({"a": pd.to_datetime([3, None, 1, 3, 1], unit="s"), "b": [2.0, 1.0, None, 1.0, 5.0]})
+    text = pd.DataFrame({"a": ["b", None, "a", "b"], "b": [2, 1, 3, 1]})
+    assert list(changes._order(text, ["a", "b"])) == [2, 3, 0, 1]
+    monkeypatch.setattr(pd.DataFrame, "sort_values", None)
+    assert list(changes._order(rows, ["a", "b"])) == [4, 2, 3, 0, 1]
+
+
 def test_a_snapshot_written_again_replaces_its_folder(spark, tmp_path):
     rows = spark.createDataFrame([("2017-01-05 10:00:00", 1), ("2017-01-05 10:01:00", 2)], "t string, v int").withColumn("t", F.to_timestamp("t"))
     path = str(tmp_path / "s")
