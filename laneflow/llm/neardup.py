@@ -169,6 +169,8 @@ def components(edges: DataFrame) -> DataFrame:
     a, b = F.least("a", "b"), F.greatest("a", "b")
     live = stored(edges.select(a.alias("a"), b.alias("b")).where("a < b").distinct(), "edges")
     labels = None
+    if live.isEmpty():
+        return live.select(F.col("a").alias("node"), F.col("b").alias("label"))
     while labels is None or not live.isEmpty():
         both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parents = stored(
@@ -185,8 +187,9 @@ def components(edges: DataFrame) -> DataFrame:
         if labels is None:
             labels = roots.select(F.col("label").alias("node"), F.col("root").alias("label"))
         else:
-            labels = labels.join(roots, "label", "left").select("node", F.coalesce("root", "label").alias("label"))
-        labels = stored(labels, "labels")
+            labels = stored(
+                labels.join(roots, "label", "left").select("node", F.coalesce("root", "label").alias("label")), "labels"
+            )
         ends = [roots.select(F.col("label").alias(c), F.col("root").alias(f"{c}_root")) for c in "ab"]
         live = stored(
             live.join(ends[0], "a").join(ends[1], "b").where("a_root <> b_root")
@@ -196,6 +199,19 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
+def merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """`labels` once the components that `edges` link are one; only the components are gone through, not their nodes.
+
+    A node without a label is a component of its own.
+    """
+    tops = components(edges)
+    if tops.isEmpty():
+        return labels
+    above = tops.select(F.col("node").alias("label"), F.col("label").alias("top"))
+    known = labels.join(above, "label", "left").select("node", F.coalesce("top", "label").alias("label"))
+    return stored(known.unionByName(tops.join(labels.select("node"), "node", "left_anti")), "labels")
+
+
 def labelled(rows: DataFrame, labels: DataFrame, out: str = "comp") -> DataFrame:
     """`rows` with the component of their node, the node itself where it has no edge."""
     known = labels.select("node", F.col("label").alias("_label"))
@@ -234,15 +250,21 @@ class Forest:
 
     def join(self, x: int, y: int) -> bool:
         x, y = self.root(x), self.root(y)
-        self.up[max(x, y)] = min(x, y)
+        if x != y:
+            self.up[max(x, y)] = min(x, y)
         return x != y
 
+    def stars(self) -> list[tuple[int, int]]:
+        """An edge from each component's least member to every other one."""
+        return [(self.root(x), x) for x in list(self.up)]
+
 
 EDGES = "a long, b long"
 
 
 def edges_of(cells: DataFrame, compare) -> DataFrame:
-    """The edges that `compare` finds in each cell; a cell's rows stand together in one partition, streamed."""
+    """The edges between components (`comp`) that `compare` finds in each cell, as stars; a cell's rows stand together
+    in one partition, streamed."""
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: list[tuple[int, int]] = []
@@ -282,24 +304,23 @@ def with_outside(rows: DataFrame, group: str) -> DataFrame:
 
 
 def likely_edges(threshold: float):
-    """Compares sketches in a cell: an edge for each likely pair that joins two components."""
+    """Compares sketches in a cell: the components that likely pairs join, as stars."""
 
     def compare(cell: dict[str, np.ndarray]) -> list[tuple[int, int]]:
-        marks, sizes, forest, found = sketches(cell["sketch"]), cell["n"], Forest(), []
+        marks, sizes, forest = sketches(cell["sketch"]), cell["n"], Forest()
         for i in range(1, len(sizes)):
             fit = np.minimum(sizes[:i], sizes[i]) >= threshold * np.maximum(sizes[:i], sizes[i]) - 1e-9
             rows = np.flatnonzero(fit & (cell["comp"][:i] != cell["comp"][i]))
             if len(rows):
                 for j in rows[likely(marks[i], marks[rows], threshold)]:
-                    if forest.join(int(cell["comp"][i]), int(cell["comp"][j])):
-                        found.append((int(cell["node"][i]), int(cell["node"][j])))
-        return found
+                    forest.join(int(cell["comp"][i]), int(cell["comp"][j]))
+        return forest.stars()
 
     return compare
 
 
 def exact_edges(percent: int):
-    """Compares full sets in a cell by an inverted index: an edge for each link that joins two components."""
+    """Compares full sets in a cell by an inverted index: the components that links join, as stars."""
 
     def compare(cell: dict[str, np.ndarray]) -> list[tuple[int, int]]:
         sets = [np.frombuffer(s, dtype=np.uint64) for s in cell["shingles"]]
@@ -309,7 +330,7 @@ def exact_edges(percent: int):
         order = np.argsort(place, kind="stable")
         postings = owner[order]
         starts = np.searchsorted(place[order], np.arange(place.max() + 2))
-        forest, found, at = Forest(), [], np.concatenate(([0], np.cumsum(sizes)))
+        forest, at = Forest(), np.concatenate(([0], np.cumsum(sizes)))
         comps = cell["comp"].tolist()
         for i in range(1, len(sets)):
             own = place[at[i] : at[i + 1]]
@@ -318,9 +339,8 @@ def exact_edges(percent: int):
             spots = np.arange(ends[-1]) - np.repeat(ends - count, count) + np.repeat(low, count)
             both = np.bincount(postings[spots], minlength=len(sets))[:i]
             for j in np.flatnonzero(100 * both >= percent * (sizes[:i] + sizes[i] - both)):
-                if forest.join(comps[i], comps[j]):
-                    found.append((int(cell["node"][i]), int(cell["node"][j])))
-        return found
+                forest.join(comps[i], comps[j])
+        return forest.stars()
 
     return compare
 
@@ -346,8 +366,7 @@ def likely_groups(nodes: DataFrame, tables: DataFrame, threshold: float) -> Data
         .join(marks.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b")), "b")
         .where(F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9)
     )
-    star_edges = stored(pairs.select("a", "b", "sketch_a", "sketch_b").mapInPandas(check, EDGES), "star-edges")
-    labels = components(star_edges)
+    labels = components(pairs.select("a", "b", "sketch_a", "sketch_b").mapInPandas(check, EDGES))
 
     rows = labelled(tables.select("node", "key"), labels)
     by_comp = rows.groupBy("key", "comp").count()
@@ -361,8 +380,7 @@ def likely_groups(nodes: DataFrame, tables: DataFrame, threshold: float) -> Data
     )
     apart = rows.join(open_, "key").withColumn("outside", F.col("comp") != F.col("main"))
     cells = with_outside(apart, "key").select("cell", "node", "comp").join(marks, "node")
-    more = edges_of(cells, likely_edges(threshold))
-    return components(star_edges.unionByName(more))
+    return merged(labels, edges_of(cells, likely_edges(threshold)))
 
 
 def with_sets(docs: DataFrame, members: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
@@ -384,7 +402,7 @@ def with_sets(docs: DataFrame, members: DataFrame, words: int, id_col: str, text
 
 
 def linked(members: DataFrame, percent: int) -> DataFrame:
-    """(node, label): components over the exact links within each likely group.
+    """(node, label): components over the exact links within each likely group; a node without links may have no row.
 
     A group that fits a cell is compared whole. A larger one goes through three
     rounds of cells: its blocks by one hash, its blocks by another, and at last
@@ -401,14 +419,13 @@ def linked(members: DataFrame, percent: int) -> DataFrame:
     take = ["cell", "node", "comp", "shingles"]
 
     first = rows.withColumn("cell", cell("first")).withColumn("comp", F.col("node"))
-    edges = stored(edges_of(first.select(*take), compare), "links")
-    labels = components(edges)
+    # Each node stands in one cell, so the cell's stars are its components.
+    labels = stored(edges_of(first.select(*take), compare), "links").select(F.col("b").alias("node"), F.col("a").alias("label"))
     large = rows.where("blocks > 1")
     if large.isEmpty():
         return labels
     second = labelled(large, labels).withColumn("cell", cell("second"))
-    edges = stored(edges.unionByName(edges_of(second.select(*take), compare)), "links")
-    labels = components(edges)
+    labels = merged(labels, edges_of(second.select(*take), compare))
 
     held = labelled(large.select("node", "group", "blocks"), labels)
     main = (
@@ -419,7 +436,7 @@ def linked(members: DataFrame, percent: int) -> DataFrame:
         .join(large.select("node", "shingles"), "node")
     )
     third = with_outside(held, "group").select(*take)
-    return components(edges.unionByName(edges_of(third, compare)))
+    return merged(labels, edges_of(third, compare))
 
 
 def with_same_ids(labels: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
