@@ -12,6 +12,22 @@ from laneflow.schemas import ANY_VEHICLE, FLOW_TYPE, JAM_FIELDS, SPEED_TYPE
 SALTS = 8
 
 
+def is_slow(
+    speed_low_excl: float = 30.0,
+    speed_high_incl: float = 35.0,
+    speed_type: str = SPEED_TYPE,
+    vehicle_class: str = ANY_VEHICLE,
+) -> Column:
+    """Whether a measurement is a speed in the band `(speed_low_excl, speed_high_incl]`."""
+    speed = double_of(F.col("value"))
+    return (
+        (F.col("measurementType") == speed_type)
+        & (F.col("vehicleClass") == vehicle_class)
+        & (speed > speed_low_excl)
+        & (speed <= speed_high_incl)
+    )
+
+
 def slow_speeds(
     measurements: DataFrame,
     speed_low_excl: float = 30.0,
@@ -23,13 +39,8 @@ def slow_speeds(
 
     -1 means no data, so `speed_low_excl=0` selects every slow reading.
     """
-    speed = double_of(F.col("value"))
-    return measurements.where(
-        (F.col("measurementType") == speed_type)
-        & (F.col("vehicleClass") == vehicle_class)
-        & (speed > speed_low_excl)
-        & (speed <= speed_high_incl)
-    ).withColumn("averageSpeed", speed)
+    slow = is_slow(speed_low_excl, speed_high_incl, speed_type, vehicle_class)
+    return measurements.where(slow).withColumn("averageSpeed", double_of(F.col("value")))
 
 
 def busy_flows(
@@ -79,17 +90,23 @@ def jam_record(speeds: str, flows: str) -> list[Column]:
     ]
 
 
-def pair(speeds: DataFrame, flows: DataFrame, salts: int = SALTS) -> DataFrame:
+def pair(speeds: DataFrame, flows: DataFrame, salts: int = SALTS, spread: str | None = None) -> DataFrame:
     """Jam records of all pairings of slow speeds and busy flows.
 
     With `salts` above one the flows of a key are spread over that many keys by
-    their content, and the far fewer slow speeds go to each of these.
+    their content, and the far fewer slow speeds go to each of these. `spread`
+    names a column, the same for all rows of a key, that says which keys to
+    spread; without it all are.
     """
     condition = same_lane_and_time("s", "f")
     if salts > 1:
         content = F.xxhash64("measurementIndex", "value", "period")
-        flows = flows.withColumn("salt", F.pmod(content, F.lit(salts)).cast("int"))
-        speeds = speeds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        salt, copies = F.pmod(content, F.lit(salts)).cast("int"), F.sequence(F.lit(0), F.lit(salts - 1))
+        if spread:
+            salt = F.when(F.col(spread), salt).otherwise(F.lit(0))
+            copies = F.when(F.col(spread), copies).otherwise(F.array(F.lit(0)))
+        flows = flows.withColumn("salt", salt)
+        speeds = speeds.withColumn("salt", F.explode(copies))
         condition = condition & (F.col("s.salt") == F.col("f.salt"))
     return (
         speeds.alias("s").join(flows.alias("f"), condition, "inner").select(*jam_record("s", "f"))

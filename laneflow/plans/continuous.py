@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from laneflow import sinks, sources, streaming
@@ -12,7 +13,7 @@ from laneflow.operators import profile
 from laneflow.plans.registry import _enriched, _event_measurements, _shown, _span, _write_speed_xml, query
 from laneflow.plans.tables import EVENT_JAMS, table
 from laneflow.schemas import FLOW_TYPE, SPEED_TYPE
-from laneflow.session import scratch_path
+from laneflow.session import scratch_path, state_off_heap, stored
 
 
 def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -65,23 +66,36 @@ def stream_snapshot_jams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Jams out of the CSV snapshots that an ingest of speed XML writes: two queries in a chain, stopped in the middle.
 
     The second query follows the first one's log of written files, so it
-    takes each file once, however often both are started.
+    takes each file once, however often both are started. Before it starts, the
+    snapshots tell which sites are crowded from then on, as only their keys need salt.
     """
     landing, snapshots, first, out, second, described = (scratch_path(spark, f"chain-{n}") for n in ("xml", "csv", "a", "jams", "b", "sites"))
     delay = _span(spark, sf_dir)
     _sites_of_users(table(spark, sf_dir, "events"), "Site").write.parquet(described)
+    bounds = {**EVENT_JAMS, "speed_type": SPEED_TYPE, "flow_type": FLOW_TYPE}
+    looks: list[tuple[Column | None, DataFrame]] = []
+
+    def timed(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("measurementTime", F.to_timestamp("measurementTime"))
+
+    def crowded() -> DataFrame:
+        seen = [crowds.agg(F.max(F.unix_micros("last"))).first()[0] for _, crowds in looks]
+        last = max((time for time in seen if time is not None), default=None)
+        after = None if last is None else F.timestamp_micros(F.lit(last))
+        landed = timed(sources.read_measurements(spark, snapshots, fields=13))
+        speeds = {name: value for name, value in bounds.items() if name != "min_flow"}
+        looks.append((after, stored(streaming.site_crowds(landed, after, **speeds), "chain-crowds")))
+        return reduce(DataFrame.unionByName, [streaming.crowded_sites(crowds, time) for time, crowds in looks])
 
     def run() -> None:
         parsed = sources.stream_speed_xml(spark, landing)
         rows = streaming.ingest_measurements(parsed, spark.read.parquet(described))
         streaming.start_snapshots(rows, snapshots, first, interval_s=None, file_format="csv").awaitTermination()
-        timed = [
-            sources.stream_measurements(spark, snapshots, fields=13).withColumn("measurementTime", F.to_timestamp("measurementTime"))
-            for _ in range(2)
-        ]
-        bounds = {**EVENT_JAMS, "speed_type": SPEED_TYPE, "flow_type": FLOW_TYPE}
-        found = streaming.stream_traffic_jams(*timed, delay, **bounds)
-        streaming.start_parquet(found, out, second).awaitTermination()
+        sides = [timed(sources.stream_measurements(spark, snapshots, fields=13)) for _ in range(2)]
+        found = streaming.stream_traffic_jams(*sides, delay, **bounds, crowded=crowded())
+        with state_off_heap(spark):
+            jams = streaming.start_parquet(found, out, second)
+        jams.awaitTermination()
 
     _in_two_runs(_halves(spark, sf_dir), lambda half: _write_speed_xml(half, landing, mode="append"), run)
     return _shown(spark.read.parquet(out))

@@ -9,18 +9,20 @@ from laneflow.streaming.ingest import (
     start_snapshots,
     without_repeats,
 )
-from laneflow.streaming.jams import stream_traffic_jams
+from laneflow.streaming.jams import crowded_sites, site_crowds, stream_traffic_jams
 from laneflow.streaming.managed import current_table, ingest_counts, start_ingest, start_latest_table
 
 __all__ = [
     "POLL_INTERVAL_S",
     "changed_arrivals",
+    "crowded_sites",
     "current_table",
     "ingest_counts",
     "ingest_measurements",
     "new_measurements",
     "rows_too_late",
     "run_available",
+    "site_crowds",
     "start_ingest",
     "start_latest_table",
     "start_parquet",

@@ -5,7 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from laneflow import sinks, sources, streaming
-from laneflow.session import scratch_path
+from laneflow.operators import jams
+from laneflow.operators.jams import SALTS
+from laneflow.plans import continuous
+from laneflow.schemas import MEASUREMENT_13, text_schema
+from laneflow.session import STATE, STATE_STORE, scratch_path, state_off_heap
 from laneflow.streaming import changes
 from tests.test_xml import SPEEDS
 
@@ -97,3 +101,87 @@ def test_versions_of_a_table(spark, tmp_path):
     before = streaming.current_table(spark, kept).count()
     spark.createDataFrame([("x", "x", 1, 99)], schema + ", version int").write.mode("append").partitionBy("version").parquet(f"{kept}/rows")
     assert streaming.current_table(spark, kept).count() == before
+
+
+def measured(site, minute, kind, value):
+    return (site, str(value), f"2024-01-01T00:{minute:02}:00Z", kind, str(value), None, "52.1", "4.1", None, "3", "lane1", "60", "anyVehicle")
+
+
+def test_only_crowded_keys_are_spread_and_pairs_stay_whole_over_restarts(spark, tmp_path):
+    landing, out, checkpoint = (str(tmp_path / n) for n in ("landing", "out", "checkpoint"))
+
+    def typed(rows):
+        return rows.withColumn("measurementTime", F.to_timestamp("measurementTime"))
+
+    def run(rows, crowded):
+        sinks.write_measurement_csv(spark.createDataFrame(rows, text_schema(MEASUREMENT_13)).coalesce(1), landing, mode="append")
+        sides = [typed(sources.stream_measurements(spark, landing, fields=13)) for _ in range(2)]
+        query = streaming.start_parquet(streaming.stream_traffic_jams(*sides, "1 day", crowded=crowded), out, checkpoint)
+        query.awaitTermination()
+        batch = typed(sources.read_measurements(spark, landing, fields=13))
+        pairs = [sorted(map(str, found.collect())) for found in (spark.read.parquet(out), jams.traffic_jams(batch))]
+        assert pairs[0] == pairs[1]
+        return batch, query.recentProgress[0]["stateOperators"][0]["numRowsUpdated"]
+
+    def key(site, minute, speeds, flows):
+        return [measured(site, minute, "TrafficSpeed", 31 + i / 10) for i in range(speeds)] + [
+            measured(site, minute, "TrafficFlow", 1000 + i) for i in range(flows)
+        ]
+
+    nobody = spark.createDataFrame([], "measurementSiteId string, after timestamp")
+    rows, held = run(key("A", 1, 2, 3) + key("B", 1, 1, 1), nobody)
+    assert held == 7
+    last = rows.agg(F.max(F.unix_micros("measurementTime"))).first()[0]
+    # A is crowded from now on: what comes late for the key that was not spread still finds its pairs.
+    more = key("A", 2, 6, 30) + key("A", 1, 1, 1) + key("B", 2, 1, 1)
+    landed = typed(spark.createDataFrame(more, text_schema(MEASUREMENT_13)))
+    after = F.timestamp_micros(F.lit(last))
+    crowds = streaming.site_crowds(landed, after)
+    assert sorted((r["measurementSiteId"], r["crowd"]) for r in crowds.collect()) == [("A", 36), ("B", 2)]
+    crowded = streaming.crowded_sites(crowds, after, limit=20)
+    assert [r["measurementSiteId"] for r in crowded.collect()] == ["A"]
+    _, held = run(more, crowded)
+    assert held == 6 * SALTS + 30 + 2 + 2
+    # A site that is listed again keeps its first time.
+    _, held = run(key("A", 2, 1, 1) + key("A", 1, 1, 1), crowded.unionByName(streaming.crowded_sites(crowds, after + F.expr("interval 1 hour"), limit=20)))
+    assert held == SALTS + 1 + 2
+
+
+def test_jams_of_snapshots_hold_a_row_once_but_for_crowded_sites(spark, tmp_path, monkeypatch):
+    """520 events of one user and second are crowded, but only in the second half of the time."""
+    calm = [(i, f"2024-01-{1 + i % 2:02} 00:00:{i % 50:02}", i % 7, "view", 40.0) for i in range(200)]
+    crowd = [(1000 + i, "2024-01-09 00:00:00", 2, "view", 40.0) for i in range(520)]
+    events = spark.createDataFrame(calm + crowd, "event_id long, ts string, user_id long, event_type string, value double")
+    events.withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(str(tmp_path / "events.parquet"))
+    started = []
+    start = streaming.start_parquet
+
+    def recorded(*args, **kwargs):
+        started.append(start(*args, **kwargs))
+        return started[-1]
+
+    monkeypatch.setattr(streaming, "start_parquet", recorded)
+    found = continuous.stream_snapshot_jams(spark, str(tmp_path))
+    spread_from = F.col("measurementTime") >= "2024-01-09"
+    assert found.where(spread_from).count() == 520 * 520
+    per_key = [(r["n"]) for r in spark.createDataFrame(calm, events.schema).where("user_id % 3 <> 0").groupBy("user_id", "ts").agg(F.count("*").alias("n")).collect()]
+    assert found.where(~spread_from).count() == sum(n * n for n in per_key)
+    held = [query.recentProgress[0]["stateOperators"][0]["numRowsUpdated"] for query in started]
+    assert held == [2 * sum(per_key), 520 * (SALTS + 1)]
+
+
+def test_state_goes_off_the_heap_unless_the_session_says_otherwise(spark):
+    names = [*STATE]
+    before = {name: spark.conf.get(name, None) for name in names}
+    try:
+        for name in names:
+            spark.conf.unset(name)
+        with state_off_heap(spark):
+            assert {name: spark.conf.get(name) for name in names} == STATE
+        assert [spark.conf.get(name, None) for name in names] == [None] * len(names)
+        spark.conf.set(STATE_STORE, "some.other.Provider")
+        with state_off_heap(spark):
+            assert [spark.conf.get(name, None) for name in names] == ["some.other.Provider"] + [None] * (len(names) - 1)
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
