@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from laneflow import sinks, sources, streaming
@@ -73,19 +73,21 @@ def stream_snapshot_jams(spark: SparkSession, sf_dir: str) -> DataFrame:
     delay = _span(spark, sf_dir)
     _sites_of_users(table(spark, sf_dir, "events"), "Site").write.parquet(described)
     bounds = {**EVENT_JAMS, "speed_type": SPEED_TYPE, "flow_type": FLOW_TYPE}
-    looks: list[tuple[Column | None, DataFrame]] = []
+    listed: list[DataFrame] = []
+    times: list[int] = []
 
     def timed(rows: DataFrame) -> DataFrame:
         return rows.withColumn("measurementTime", F.to_timestamp("measurementTime"))
 
     def crowded() -> DataFrame:
-        seen = [crowds.agg(F.max(F.unix_micros("last"))).first()[0] for _, crowds in looks]
-        last = max((time for time in seen if time is not None), default=None)
-        after = None if last is None else F.timestamp_micros(F.lit(last))
+        after = F.timestamp_micros(F.lit(max(times))) if times else None
         landed = timed(sources.read_measurements(spark, snapshots, fields=13))
         speeds = {name: value for name, value in bounds.items() if name != "min_flow"}
-        looks.append((after, stored(streaming.site_crowds(landed, after, **speeds), "chain-crowds")))
-        return reduce(DataFrame.unionByName, [streaming.crowded_sites(crowds, time) for time, crowds in looks])
+        crowds = stored(streaming.site_crowds(landed, after, **speeds), "chain-crowds")
+        # Stored once more, as the planner goes by the size of the files.
+        listed.append(stored(streaming.crowded_sites(crowds, after), "chain-crowded"))
+        times.extend(row[0] for row in crowds.agg(F.max(F.unix_micros("last"))).collect() if row[0] is not None)
+        return reduce(DataFrame.unionByName, listed)
 
     def run() -> None:
         parsed = sources.stream_speed_xml(spark, landing)
